@@ -7,8 +7,29 @@ from pyspark.sql import functions as F
 
 from .chat_format import chat_windows, read_back
 from .common import table
+from .decontaminate import benchmark_matches
 from .exact_dedup import exact_groups
+from .line_dedup import repeated_spans
+from .piece_codec import encode_documents
 from .sharding import byte_shards
+from .token_count import token_counts
+
+MODEL_FILE = "piece_bpe_32k.model"
+
+
+def model_path() -> str:
+    """The public model's place; the operators take any path."""
+    import public_tokenizers
+
+    return public_tokenizers.path(MODEL_FILE)
+
+
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(table(spark, sf_dir, "documents"), model_path())
+
+
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_documents(table(spark, sf_dir, "documents"), model_path())
 
 
 def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,9 +52,20 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return benchmark_matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_spans(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op4_chat_formatting, op5_sharding, op8_exact_dedup)
+    for f in (
+        op1_token_counts, op3_sentencepiece, op4_chat_formatting, op5_sharding,
+        op8_exact_dedup, op9_decontamination, op10_substring_dedup,
+    )
 }
 
 ORACLE_SQL = {
