@@ -11,6 +11,7 @@ from .decontaminate import benchmark_matches
 from .exact_dedup import exact_groups
 from .line_dedup import repeated_spans
 from .piece_codec import encode_documents
+from .quality import quality_scores
 from .sharding import byte_shards
 from .token_count import token_counts
 
@@ -48,6 +49,10 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_shards(table(spark, sf_dir, "documents"))
 
 
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"))
 
@@ -63,7 +68,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_token_counts, op3_sentencepiece, op4_chat_formatting, op5_sharding,
+        op1_token_counts, op3_sentencepiece, op4_chat_formatting, op5_sharding, op6_quality_classifier,
         op8_exact_dedup, op9_decontamination, op10_substring_dedup,
     )
 }
