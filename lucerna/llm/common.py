@@ -47,6 +47,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
         edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
     )
     nodes = pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node"))).distinct()
+    before = None
     for _ in range(max_rounds):
         both = pairs.union(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
@@ -62,10 +63,11 @@ def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
             .distinct()
         )
         done = cut(small)
-        changed = done.exceptAll(pairs).limit(1).count() or pairs.exceptAll(done).limit(1).count()
+        now = done.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
         pairs = done
-        if not changed:
+        if now == before:
             break
+        before = now
     else:
         raise RuntimeError("components did not settle")
     found = pairs.groupBy("u").agg(F.min("v").alias("component"))

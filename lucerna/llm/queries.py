@@ -10,6 +10,7 @@ from .common import table
 from .decontaminate import benchmark_matches
 from .exact_dedup import exact_groups
 from .line_dedup import repeated_spans
+from .ngram_join import near_duplicates
 from .piece_codec import encode_documents
 from .quality import quality_scores
 from .sharding import byte_shards
@@ -29,6 +30,10 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), model_path())
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(table(spark, sf_dir, "documents"), model_path())
 
@@ -68,7 +73,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_token_counts, op3_sentencepiece, op4_chat_formatting, op5_sharding, op6_quality_classifier,
+        op1_token_counts, op2_ngram_join, op3_sentencepiece, op4_chat_formatting, op5_sharding, op6_quality_classifier,
         op8_exact_dedup, op9_decontamination, op10_substring_dedup,
     )
 }
