@@ -1,11 +1,63 @@
-"""The corpus pipeline; see STAGES."""
+"""The corpus pipeline: quality, exact copies, near copies, benchmark passages, encoding.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents,
+every row as it was. The caller writes each result and gives it to the next stage.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lucerna.llm.common import table
+from lucerna.llm.decontaminate import keep_uncontaminated
+from lucerna.llm.exact_dedup import keep_first
+from lucerna.llm.ngram_join import near_duplicates
+from lucerna.llm.piece_codec import encode_documents
+from lucerna.llm.quality import keep_quality
+from lucerna.llm.queries import model_path
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that the classifier scores below its threshold."""
+    return keep_quality(docs, table(spark, sf_dir, "labels"))
+
+
+def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents with equal normalised texts, the smallest doc_id stays."""
+    return keep_first(docs)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each component of the n-gram Jaccard join, the smallest doc_id stays."""
+    dropped = near_duplicates(docs).where("component_id <> doc_id").select(F.col("doc_id").alias("dropped_id")).distinct()
+    return docs.join(dropped, docs["doc_id"] == dropped["dropped_id"], "left_anti")
+
+
+def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that hold a benchmark item within its edit budget."""
+    return keep_uncontaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of what is left."""
+    return encode_documents(docs, model_path())
+
+
+STAGES = [
+    ("quality", quality),
+    ("exact_copies", exact_copies),
+    ("near_copies", near_copies),
+    ("benchmark_passages", benchmark_passages),
+    ("encoding", encoding),
+]
+
+#: A trained classifier and a tokenizer are no SQL; tests hold run() against a plain version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
     return docs

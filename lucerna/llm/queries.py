@@ -12,6 +12,7 @@ from .exact_dedup import exact_groups
 from .line_dedup import repeated_spans
 from .ngram_join import near_duplicates
 from .piece_codec import encode_documents
+from .pii import personal_data
 from .quality import quality_scores
 from .sharding import byte_shards
 from .token_count import token_counts
@@ -58,6 +59,10 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data(table(spark, sf_dir, "documents"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"))
 
@@ -73,7 +78,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_token_counts, op2_ngram_join, op3_sentencepiece, op4_chat_formatting, op5_sharding, op6_quality_classifier,
+        op1_token_counts, op2_ngram_join, op3_sentencepiece, op4_chat_formatting, op5_sharding, op6_quality_classifier, op7_pii,
         op8_exact_dedup, op9_decontamination, op10_substring_dedup,
     )
 }
