@@ -6,8 +6,8 @@ shingles. The result is every document's component under these links. Steps:
 1. Sets. One pass gives each document its set's size and a 128-bit digest of the set. Documents with equal
    sets are one class; its smallest doc_id stands for it, so copies cost an aggregate.
 2. Prefixes. Linked sets share one of the first |A| - ceil(t |A|) + 1 shingles of any fixed order. The order
-   is by hash, but shingles that very many documents share come last, so that boilerplate and common
-   passages don't bring documents together. Which are common is found in step 1: each slice reports what it
+   is by hash, but shingles that very many documents share come last, the commoner the later, so that
+   boilerplate and common passages don't bring documents together. Which are common is found in step 1: each slice reports what it
    saw often; what reaches the share SHARE of all shingles in sum counts as common, which at most 1/SHARE
    shingles do. The order decides the cost, never the result.
 3. Candidates. Classes that share a prefix shingle form a block. Shingles are hashed into GROUPS groups, and a
@@ -19,7 +19,7 @@ shingles. The result is every document's component under these links. Steps:
 4. Verification. Components of candidates bring the texts of their classes together, in tiles of bounded
    size; inside a tile an R-tree over the same points proposes pairs and the sets decide. Pairs already
    connected aren't compared, so near copies in thousands cost about a comparison each. Between tiles of one
-   candidate component, members outside its largest verified component are compared with every tile.
+   candidate component, members outside its largest verified component are compared with every tile of sizes that fit.
 5. Components of the verified links are the result.
 
 Every pair that could link is either compared or already connected, so no link between components is lost.
@@ -49,7 +49,11 @@ GROUPS = 64
 SHARE, LEAST_REPORT, LEAST_COMMON = 1e-5, 3, 200
 #: Shingle hashes in a tile of verification.
 TILE = 1 << 20
-LEAF, FANOUT = 32, 8
+#: Bits of the map of documents whose texts are needed.
+BITMAP = 1 << 22
+LEAF, FANOUT, WIDEST = 32, 8, 4096
+#: Ratio of the sizes at the ends of a bucket of sizes.
+STEP = 1.1
 
 
 def distinct_per_row(texts: pa.Array, size: int) -> Iterator[tuple[int, list[np.ndarray]]]:
@@ -67,8 +71,14 @@ def digest_of(hashes: np.ndarray) -> tuple[int, int]:
     return int(low.astype(np.int64)), int(high.astype(np.int64))
 
 
-def counts_of(hashes: np.ndarray) -> np.ndarray:
-    return np.bincount((hashes >> np.uint64(17)).astype(np.int64) % GROUPS, minlength=GROUPS).astype(np.int32)
+def counts_of(hashes: np.ndarray, groups: int = GROUPS) -> np.ndarray:
+    """How many of the set's shingles fall into each group; groups is a power of two, fewer groups are sums of more."""
+    return np.bincount(((hashes >> np.uint64(17)) & np.uint64(groups - 1)).astype(np.int64), minlength=groups).astype(np.int32)
+
+
+def folded(points: np.ndarray, groups: int = GROUPS) -> np.ndarray:
+    """Points over `groups` groups from points over a multiple of that."""
+    return points.reshape(len(points), -1, groups).sum(1, dtype=np.int32)
 
 
 def needed(a, b, percent: int):
@@ -83,12 +93,14 @@ def prefix_length(n: int, percent: int) -> int:
 class CountTree:
     """R-tree over count vectors: leaves of LEAF points, nodes with per-group maxima and the range of sizes."""
 
-    def __init__(self, points: np.ndarray, sizes: np.ndarray):
-        # Packed by size, then by the group that varies most among neighbours.
+    def __init__(self, points: np.ndarray, sizes: np.ndarray, cluster: np.ndarray | None = None):
+        # Packed by what brings alike points together (such as a set's least hash), else by size, so that leaves
+        # are tight. The tree stands over GROUPS groups; finer points sharpen the bound of what it finds.
         order = np.argsort(sizes, kind="stable")
-        for a in range(0, len(order), LEAF * FANOUT):
-            part = order[a : a + LEAF * FANOUT]
-            order[a : a + LEAF * FANOUT] = part[np.argsort(points[part, int(points[part].var(0).argmax())], kind="stable")]
+        if cluster is not None:
+            order = order[np.argsort(cluster[order], kind="stable")]
+        self.fine = points[order] if points.shape[1] > GROUPS else None
+        points = folded(points) if points.shape[1] > GROUPS else points
         self.order = order
         self.points, self.sizes = points[order], sizes[order]
         self.levels = []
@@ -103,6 +115,8 @@ class CountTree:
 
     def near(self, point: np.ndarray, size: int, percent: int) -> np.ndarray:
         """Indices of the points whose overlap with this one may suffice."""
+        fine = point
+        point = folded(point[None])[0] if len(point) > GROUPS else point
         live = np.zeros(1, np.int64)
         for level in range(len(self.levels) - 1, -1, -1):
             width, top, low, high = self.levels[level]
@@ -113,35 +127,45 @@ class CountTree:
             live = (live[:, None] * width + np.arange(width)).ravel()
             live = live[live < below]
         bound = np.minimum(self.points[live], point).sum(1)
-        return self.order[live[bound >= needed(size, self.sizes[live], percent)]]
+        live = live[bound >= needed(size, self.sizes[live], percent)]
+        if self.fine is not None and len(live):
+            bound = np.minimum(self.fine[live], fine).sum(1)
+            live = live[bound >= needed(size, self.sizes[live], percent)]
+        return self.order[live]
 
 
 def linked_pairs(
-    points: np.ndarray, sizes: np.ndarray, percent: int, same: Callable[[int, int], bool], labels: np.ndarray, asks: np.ndarray
+    points: np.ndarray, sizes: np.ndarray, percent: int, same: Callable[[int, int], bool], labels: np.ndarray, asks: np.ndarray,
+    homes: np.ndarray, cluster: np.ndarray | None = None,
 ) -> list[tuple[int, int]]:
-    """Edges that connect what `same` connects: of each point that asks, with all points of other labels.
+    """Edges that connect what `same` connects: of each point that asks, with all points at home of other labels.
 
     A pair whose ends are connected already is not compared; what isn't compared can't add a connection.
     """
     n = len(sizes)
     if n == 2:
-        if labels[0] == labels[1] or not (asks[0] or asks[1]) or np.minimum(points[0], points[1]).sum() < needed(sizes[0], sizes[1], percent):
+        meet = labels[0] != labels[1] and ((asks[0] and homes[1]) or (asks[1] and homes[0]))
+        if not meet or np.minimum(points[0], points[1]).sum() < needed(sizes[0], sizes[1], percent):
             return []
         return [(0, 1)] if same(0, 1) else []
-    tree = CountTree(points, sizes)
+    home = np.flatnonzero(homes)
+    if not len(home):
+        return []
+    tree = CountTree(points[home], sizes[home], None if cluster is None else cluster[home])
     of = np.unique(labels, return_inverse=True)[1]
     edges = []
     for i in np.flatnonzero(asks).tolist():
-        near = tree.near(points[i], int(sizes[i]), percent)
-        near = near[of[near] != of[i]]
-        while len(near):
-            j = int(near[0])
+        near = home[tree.near(points[i], int(sizes[i]), percent)]
+        # Of two points at home that both ask, the later one asks the earlier.
+        near = near[(of[near] != of[i]) & ((near < i) | ~asks[near] | ~homes[i])]
+        at = 0
+        while at < len(near):
+            j = int(near[at])
+            at += 1
             if same(i, j):
                 edges.append((i, j))
                 of[of == of[j]] = of[i]
-                near = near[of[near] != of[i]]
-            else:
-                near = near[1:]
+                near, at = near[at:][of[near[at:]] != of[i]], 0
     return edges
 
 
@@ -172,12 +196,12 @@ def document_sets(docs: DataFrame, size: int) -> DataFrame:
     return doc_texts(docs).mapInArrow(read, "doc_id long, n long, d1 long, d2 long, counts binary")
 
 
-def prefix_rows(docs: DataFrame, common: np.ndarray, size: int, percent: int) -> DataFrame:
+def prefix_rows(docs: DataFrame, common: np.ndarray, times: np.ndarray, size: int, percent: int) -> DataFrame:
     """shingle, node (its set's digest) and whether the shingle is common, for each document's prefix."""
-    shared = docs.sparkSession.sparkContext.broadcast(common)
+    shared = docs.sparkSession.sparkContext.broadcast((common, times))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common = shared.value
+        common, times = shared.value
         for batch in batches:
             for _, sets in distinct_per_row(batch.column(1), size):
                 keys, nodes, often = [], [], []
@@ -185,13 +209,15 @@ def prefix_rows(docs: DataFrame, common: np.ndarray, size: int, percent: int) ->
                     if not len(s):
                         continue
                     length = prefix_length(len(s), percent)
+                    many = 0
+                    s_first = s[:length]
                     if len(common):
-                        at = np.searchsorted(common, s)
-                        found = common[np.minimum(at, len(common) - 1)] == s
-                        s_first = np.concatenate((s[~found][:length], s[found][: max(0, length - int((~found).sum()))]))
-                        many = max(0, length - int((~found).sum()))
-                    else:
-                        s_first, many = s[:length], 0
+                        at = np.minimum(np.searchsorted(common, s), len(common) - 1)
+                        found = common[at] == s
+                        rare = s[~found]
+                        many = max(0, length - len(rare))
+                        late = s[found][np.argsort(times[at[found]], kind="stable")]
+                        s_first = np.concatenate((rare[:length], late[:many]))
                     keys.append(s_first)
                     nodes.append(np.full(length, digest_of(s)[0], np.int64))
                     often.append(np.arange(length) >= length - many)
@@ -237,6 +263,11 @@ def memberships(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(group, "block long, node long")
 
 
+def spread(df: DataFrame) -> int:
+    """Partitions for steps whose work is not in their bytes: a fixed number, which adaptive execution doesn't merge."""
+    return 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def key_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
     """Rows of a partition that share the first column, which the partition is sorted by."""
     held: list[pa.RecordBatch] = []
@@ -266,14 +297,14 @@ def candidate_edges(blocks: DataFrame, percent: int) -> DataFrame:
             points = np.frombuffer(b"".join(rows.column(3).take(pa.array(at)).to_pylist()), np.int32).reshape(len(nodes), GROUPS)
             sizes = rows.column(2).to_numpy()[at]
             every = np.ones(len(nodes), bool)
-            found = linked_pairs(points, sizes, percent, lambda i, j: True, np.arange(len(nodes)), every)
+            found = linked_pairs(points, sizes, percent, lambda i, j: True, np.arange(len(nodes)), every, every)
             out.extend((int(nodes[i]), int(nodes[j])) for i, j in found)
             if len(out) > 1 << 15:
                 yield edge_batch(out)
                 out = []
         yield edge_batch(out)
 
-    return blocks.repartition("block").sortWithinPartitions("block").select("block", "node", "n", "counts").mapInArrow(search, "a long, b long")
+    return blocks.repartition(spread(blocks), "block").sortWithinPartitions("block").select("block", "node", "n", "counts").mapInArrow(search, "a long, b long")
 
 
 def edge_batch(edges: list[tuple[int, int]]) -> pa.RecordBatch:
@@ -281,14 +312,14 @@ def edge_batch(edges: list[tuple[int, int]]) -> pa.RecordBatch:
 
 
 def verified_edges(members: DataFrame, size: int, percent: int) -> DataFrame:
-    """a and b: edges that connect what links inside each tile (tile, doc_id, d1, label, asks, text)."""
+    """a and b: edges that connect what links inside each tile (tile, doc_id, d1, label, asks, home, text)."""
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in key_groups(batches):
             if rows.num_rows < 2:
                 continue
             rows = rows.combine_chunks()
-            texts = rows.column(5).chunk(0)
+            texts = rows.column(6).chunk(0)
             sets = [s for _, part in distinct_per_row(texts, size) for s in part]
             # A doc_id that has several texts stands for the one with the class's digest; repeats are one.
             node = rows.column(2).to_pylist()
@@ -297,8 +328,10 @@ def verified_edges(members: DataFrame, size: int, percent: int) -> DataFrame:
                 continue
             rows, sets = rows.take(pa.array(at)), [sets[i] for i in at]
             ids = rows.column(1).to_pylist()
-            points = np.vstack([counts_of(s) for s in sets])
             sizes = np.array([len(s) for s in sets], np.int64)
+            # About four shingles a group, so that the bound tells apart sets of any size; a tile's points stay small.
+            groups = int(np.clip(1 << int(np.ceil(np.log2(max(1.0, sizes.mean() / 4)))), GROUPS, WIDEST))
+            points = np.vstack([counts_of(s, groups) for s in sets])
 
             def same(i: int, j: int, sets=sets, sizes=sizes) -> bool:
                 both = np.concatenate((sets[i], sets[j]))
@@ -307,11 +340,11 @@ def verified_edges(members: DataFrame, size: int, percent: int) -> DataFrame:
                 return 100 * overlap >= percent * int(sizes[i] + sizes[j] - overlap)
 
             labels = rows.column(3).to_numpy()
-            asks = rows.column(4).to_numpy(zero_copy_only=False)
-            found = linked_pairs(points, sizes, percent, same, labels, asks)
+            asks, homes = (rows.column(k).to_numpy() for k in (4, 5))
+            found = linked_pairs(points, sizes, percent, same, labels, asks, homes, np.array([s[0] for s in sets]))
             yield edge_batch([(ids[i], ids[j]) for i, j in found])
 
-    ready = members.repartition("tile").sortWithinPartitions("tile").select("tile", "doc_id", "d1", "label", "asks", "text")
+    ready = members.repartition(spread(members), "tile").sortWithinPartitions("tile").select("tile", "doc_id", "d1", "label", "asks", "home", "text")
     return ready.mapInArrow(verify, "a long, b long")
 
 
@@ -322,15 +355,16 @@ def near_duplicates(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -
     reports = read.where("n = -1")
     total = sets.agg(F.sum("n")).first()[0] or 0
     # At most 1 / SHARE shingles reach this share of all: the list that is broadcast has a bound.
-    often = (
-        reports.groupBy("d1").agg(F.sum("d2").alias("times")).where(F.col("times") >= max(LEAST_COMMON, SHARE * total))
-        .select(F.col("d1").alias("shingle"))
-    )
-    common = np.sort(np.array([r.shingle for r in often.collect()], np.int64).view(np.uint64))
+    often = reports.groupBy("d1").agg(F.sum("d2").alias("times")).where(F.col("times") >= max(LEAST_COMMON, SHARE * total))
+    rows = often.collect()
+    common, times = np.array([r.d1 for r in rows], np.int64).view(np.uint64), np.array([r.times for r in rows], np.float64)
+    order = np.argsort(common)
+    # The commoner, the later; by powers of two, and by hash within one.
+    common, times = common[order], np.log2(np.maximum(times[order], 1)).astype(np.int64)
     classes = sets.where("n > 0").groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("class_id"), F.first("counts").alias("counts"))
     classes = cut(classes)
 
-    prefixes = prefix_rows(docs, common, size, percent)
+    prefixes = prefix_rows(docs, common, times, size, percent)
     rare = prefixes.where("not common").select("shingle", "node").repartition("shingle")
     blocks = memberships(rare).distinct()
     points = classes.select(F.col("d1").alias("node"), "n", "counts")
@@ -341,20 +375,30 @@ def near_duplicates(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -
 
     members = found.join(classes, found["node"] == classes["d1"]).select("component", F.col("class_id").alias("doc_id"), "d1", "n")
     groups = members.groupBy("component").agg(F.sum("n").alias("weight"), F.count(F.lit(1)).alias("several")).where("several > 1")
-    tiles = F.ceil(F.col("weight") / TILE)
+    # A large component's tiles are ranges of sizes, since sets of very different sizes can't link.
+    members = members.withColumn("bucket", F.floor(F.log("n") / np.log(STEP)).cast("int"))
+    weights = members.groupBy("component", "bucket").agg(F.ceil(F.sum("n") / TILE).alias("parts"))
+    slot = F.when(F.col("weight") > TILE, F.col("bucket") * 1_000_000 + F.pmod(F.xxhash64("doc_id"), F.col("parts")) + 1).otherwise(0)
     members = cut(
-        members.join(groups, "component").select("component", "doc_id", "d1", tiles.alias("tiles"), F.pmod(F.xxhash64("doc_id"), tiles).alias("slot"))
+        members.join(groups, "component").join(weights, ["component", "bucket"]).select("component", "doc_id", "d1", "bucket", slot.alias("slot"))
     )
     texts = docs.select(F.col("doc_id").cast("long").alias("text_id"), F.col("text").alias("text"))
 
     def with_texts(rows: DataFrame) -> DataFrame:
-        return rows.join(texts, rows["doc_id"] == texts["text_id"]).drop("text_id")
+        # Texts of other documents are told apart by a bitmap before the exchange; its size is fixed.
+        bit = lambda c: f"pmod(xxhash64({c}), {BITMAP})"
+        mask = lambda c: F.expr(f"shiftleft(1L, cast({bit(c)} % 62 AS int))")
+        word = lambda c: F.expr(f"{bit(c)} div 62")
+        bits = rows.select(word("doc_id").alias("word"), mask("doc_id").alias("mask")).groupBy("word").agg(F.bit_or("mask").alias("bits"))
+        marked = texts.select("*", word("text_id").alias("word"), mask("text_id").alias("_bit"))
+        some = marked.join(F.broadcast(bits), "word").where(F.col("bits").bitwiseAND(F.col("_bit")) != 0).select("text_id", "text")
+        return rows.join(some, rows["doc_id"] == some["text_id"]).drop("text_id")
 
     inside = members.select(
-        F.xxhash64("component", "slot").alias("tile"), "doc_id", "d1", F.col("doc_id").alias("label"), F.lit(True).alias("asks")
+        F.xxhash64("component", "slot").alias("tile"), "doc_id", "d1", F.col("doc_id").alias("label"), F.lit(True).alias("asks"), F.lit(True).alias("home")
     )
     edges = cut(verified_edges(with_texts(inside), size, percent))
-    large = members.where("tiles > 1")
+    large = members.where("slot > 0")
     if large.limit(1).count():
         edges = edges.union(cut(across_tiles(large, edges, with_texts, size, percent)))
     found = connected_components(edges)
@@ -372,22 +416,27 @@ def near_duplicates(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -
 def across_tiles(members: DataFrame, edges: DataFrame, with_texts, size: int, percent: int) -> DataFrame:
     """Edges between tiles of one candidate component.
 
-    Members of its largest verified component are connected to each other; all others go to every tile and are
-    compared there with what they aren't connected to.
+    Members of its largest verified component are connected to each other; all others go to every tile
+    whose sizes fit theirs and are compared there with what they aren't connected to.
     """
     done = connected_components(edges).withColumnRenamed("component", "label")
     labelled = members.join(done, members["doc_id"] == done["node"], "left").select(
-        "component", "doc_id", "d1", "slot", "tiles", F.coalesce("label", "doc_id").alias("label")
+        "component", "doc_id", "d1", "slot", "bucket", F.coalesce("label", "doc_id").alias("label")
     )
     labelled = cut(labelled)
     counts = labelled.groupBy("component", "label").agg(F.count(F.lit(1)).alias("size"))
     main = counts.groupBy("component").agg(F.max_by("label", F.struct("size", "label")).alias("main"), F.count(F.lit(1)).alias("labels"))
     open_rows = labelled.join(main.where("labels > 1"), "component")
-    here = open_rows.select("component", "slot", "doc_id", "d1", "label", (F.col("label") != F.col("main")).alias("asks"))
-    there = open_rows.where("label <> main").select(
-        "component", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)).alias("slot"), "doc_id", "d1", "label", F.lit(True).alias("asks")
+    here = open_rows.select("component", "slot", "doc_id", "d1", "label", (F.col("label") != F.col("main")).alias("asks"), F.lit(True).alias("home"))
+    reach = int(np.log(100 / percent) / np.log(STEP)) + 1
+    slots = labelled.select("component", "bucket", "slot").distinct()
+    there = (
+        open_rows.where("label <> main")
+        .select("component", "doc_id", "d1", "label", F.explode(F.sequence(F.col("bucket") - reach, F.col("bucket") + reach)).alias("bucket"))
+        .join(slots, ["component", "bucket"])
+        .select("component", "slot", "doc_id", "d1", "label", F.lit(True).alias("asks"), F.lit(False).alias("home"))
     )
-    tiles = here.union(there).groupBy("component", "slot", "doc_id", "d1", "label").agg(F.bool_or("asks").alias("asks"))
+    tiles = here.union(there).groupBy("component", "slot", "doc_id", "d1", "label").agg(F.bool_or("asks").alias("asks"), F.bool_or("home").alias("home"))
     return verified_edges(
-        with_texts(tiles.select(F.xxhash64("component", "slot").alias("tile"), "doc_id", "d1", "label", "asks")), size, percent
+        with_texts(tiles.select(F.xxhash64("component", "slot").alias("tile"), "doc_id", "d1", "label", "asks", "home")), size, percent
     )
