@@ -10,12 +10,12 @@ shingles. The result is every document's component under these links. Steps:
    boilerplate and common passages don't bring documents together. Which are common is found in step 1: each slice reports what it
    saw often; what reaches the share SHARE of all shingles in sum counts as common, which at most 1/SHARE
    shingles do. The order decides the cost, never the result.
-3. Candidates. Classes that share a prefix shingle form a block. Shingles are hashed into GROUPS groups, and a
-   set's counts per group are a point. The overlap of two sets is at most the sum over groups of the smaller
+3. Candidates. Classes that share a prefix shingle form a block. Shingles are hashed into groups, the more the
+   larger the set, and a set's counts per group are a point. The overlap of two sets is at most the sum over groups of the smaller
    count. Each block is searched through an R-tree over its points, whose nodes carry per-group maxima, so the
    same sum bounds the overlap of whole subtrees. Blocks with one and the same membership are searched once.
-   What passes the bound gives the edges of a spanning forest of candidates; a shingle that is common is a
-   block too large for one task, whose members all become candidates of one another by a star.
+   What passes the bound gives the edges of a spanning forest of candidates; the members of a block too large
+   for one task all become candidates of one another, by a star.
 4. Verification. Components of candidates bring the texts of their classes together, in tiles of bounded
    size; inside a tile an R-tree over the same points proposes pairs and the sets decide. Pairs already
    connected aren't compared, so near copies in thousands cost about a comparison each. Between tiles of one
@@ -44,11 +44,14 @@ from .common import connected_components, cut, doc_texts
 from .words import mix, shingle_hashes, slices
 
 SIZE, PERCENT = 5, 75
-GROUPS = 64
+#: Groups that a tree stands over, and the largest set whose counts surely fit 16 bits.
+GROUPS, FITS = 64, 65_535
 #: A shingle with this share of all shingles is common; a slice reports a shingle that it met so often, at least.
 SHARE, LEAST_REPORT, LEAST_COMMON = 1e-5, 3, 200
 #: Shingle hashes in a tile of verification.
 TILE = 1 << 20
+#: Members of a block that one task searches.
+BLOCK = 4096
 #: Bits of the map of documents whose texts are needed.
 BITMAP = 1 << 22
 LEAF, FANOUT, WIDEST = 32, 8, 4096
@@ -82,8 +85,20 @@ def folded(points: np.ndarray, groups: int = GROUPS) -> np.ndarray:
 
 
 def needed(a, b, percent: int):
-    """The least overlap of linked sets of sizes a and b."""
-    return -(-(a + b) * percent // (100 + percent))
+    """The least overlap of linked sets of sizes a and b; none is asked for where neither's counts are kept exactly."""
+    return np.where(np.minimum(a, b) > FITS, 0, -(-(a + b) * percent // (100 + percent)))
+
+
+def width(n: float) -> int:
+    """Groups for sets of about n shingles: four shingles a group, so that the bound tells apart sets of any size."""
+    return int(np.clip(1 << int(np.ceil(np.log2(max(1.0, n / 4)))), GROUPS, WIDEST))
+
+
+def packed(hashes: np.ndarray) -> bytes:
+    """A point in 16-bit counts; a set too large for them counts as having every group full, which no bound rules out."""
+    groups = width(len(hashes))
+    counts = counts_of(hashes, groups) if len(hashes) <= FITS else np.full(groups, FITS)
+    return counts.astype(np.uint16).tobytes()
 
 
 def prefix_length(n: int, percent: int) -> int:
@@ -179,7 +194,7 @@ def document_sets(docs: DataFrame, size: int) -> DataFrame:
                 digests = [digest_of(s) for s in sets]
                 rows = [
                     ids[start : start + len(sets)].tolist(), [len(s) for s in sets], [d[0] for d in digests], [d[1] for d in digests],
-                    [counts_of(s).tobytes() for s in sets],
+                    [packed(s) for s in sets],
                 ]
                 every = np.sort(np.concatenate(sets)) if sets else np.zeros(0, np.uint64)
                 if len(every):
@@ -294,11 +309,19 @@ def candidate_edges(blocks: DataFrame, percent: int) -> DataFrame:
             nodes, at = np.unique(rows.column(1).to_numpy(), return_index=True)
             if len(nodes) < 2:
                 continue
-            points = np.frombuffer(b"".join(rows.column(3).take(pa.array(at)).to_pylist()), np.int32).reshape(len(nodes), GROUPS)
             sizes = rows.column(2).to_numpy()[at]
-            every = np.ones(len(nodes), bool)
-            found = linked_pairs(points, sizes, percent, lambda i, j: True, np.arange(len(nodes)), every, every)
-            out.extend((int(nodes[i]), int(nodes[j])) for i, j in found)
+            packs = [np.frombuffer(x, np.uint16) for x in rows.column(3).take(pa.array(at)).to_pylist()]
+            widths = np.array([len(x) for x in packs])
+            # Sets that can link have equal or neighbouring widths: each width asks itself and the next.
+            for w in np.unique(widths).tolist():
+                part = np.flatnonzero((widths == w) | (widths == 2 * w))
+                if len(part) < 2:
+                    continue
+                points = np.vstack([folded(packs[i][None], w) for i in part])
+                found = linked_pairs(
+                    points, sizes[part], percent, lambda i, j: True, np.arange(len(part)), widths[part] == w, np.ones(len(part), bool)
+                )
+                out.extend((int(nodes[part[i]]), int(nodes[part[j]])) for i, j in found)
             if len(out) > 1 << 15:
                 yield edge_batch(out)
                 out = []
@@ -329,8 +352,7 @@ def verified_edges(members: DataFrame, size: int, percent: int) -> DataFrame:
             rows, sets = rows.take(pa.array(at)), [sets[i] for i in at]
             ids = rows.column(1).to_pylist()
             sizes = np.array([len(s) for s in sets], np.int64)
-            # About four shingles a group, so that the bound tells apart sets of any size; a tile's points stay small.
-            groups = int(np.clip(1 << int(np.ceil(np.log2(max(1.0, sizes.mean() / 4)))), GROUPS, WIDEST))
+            groups = width(sizes.mean())
             points = np.vstack([counts_of(s, groups) for s in sets])
 
             def same(i: int, j: int, sets=sets, sizes=sizes) -> bool:
@@ -365,12 +387,14 @@ def near_duplicates(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -
     classes = cut(classes)
 
     prefixes = prefix_rows(docs, common, times, size, percent)
-    rare = prefixes.where("not common").select("shingle", "node").repartition("shingle")
-    blocks = memberships(rare).distinct()
+    late = cut(prefixes.where("common").select("shingle", "node"))
+    crowded = late.groupBy("shingle").agg(F.count(F.lit(1)).alias("members")).where(F.col("members") > BLOCK).select("shingle")
+    rare = prefixes.where("not common").select("shingle", "node").unionByName(late.join(crowded, "shingle", "left_anti"))
+    blocks = memberships(rare.repartition("shingle")).distinct()
     points = classes.select(F.col("d1").alias("node"), "n", "counts")
     by_bound = candidate_edges(blocks.join(points, "node").select("block", "node", "n", "counts"), percent)
-    # A common shingle's members meet through a node that stands for the shingle.
-    star = prefixes.where("common").select(F.col("node").alias("a"), F.xxhash64("shingle", F.lit("hub")).alias("b")).distinct()
+    # The members of a block too large for one task meet through a node that stands for its shingle.
+    star = late.join(crowded, "shingle", "left_semi").select(F.col("node").alias("a"), F.xxhash64("shingle", F.lit("hub")).alias("b")).distinct()
     found = connected_components(by_bound.union(star))
 
     members = found.join(classes, found["node"] == classes["d1"]).select("component", F.col("class_id").alias("doc_id"), "d1", "n")
