@@ -460,18 +460,3 @@ def agg06_eval_aggregate(spark, d):
     scores = ev.query_scores(_ranking(spark, d), snippets, claims.drop("contradiction_rate").withColumn("contradiction_rate", F.lit(0.0)), runs)
     out = ev.aggregate_scores(scores, "query_class")
     return out.select("query_class", "queries", *[F.round(c, 9).alias(c) for c in out.columns if c not in ("query_class", "queries")])
-
-
-@query()
-def entry_analysis(spark, d):
-    """The whole engine: benchmark items as questions over all documents, with verdicts after recovery."""
-    from ..plans.analysis import analyse, build_index
-
-    docs = table(spark, d, "documents")
-    pages = docs.select("doc_id", F.lit(1).alias("page"), "text")
-    parents = docs.select(
-        "doc_id", F.col("source").alias("filename"), F.lit("1.0").alias("version"), F.lit(None).cast("timestamp").alias("effective_from"), F.lit(None).cast("timestamp").alias("effective_until")
-    )
-    questions = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
-    done = analyse(questions, build_index(pages, parents), F.lit("2026-01-01").cast("timestamp"))
-    return done.select("query_id", "attempt", "verdict", "status", F.round("score", 6).alias("score"), "diagnosis", "total", t.token_estimate(F.col("answer")).alias("answer_tokens"))

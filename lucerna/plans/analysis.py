@@ -30,6 +30,11 @@ class Index:
     documents: DataFrame
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """df worked out once: in the shared checkpoint folder if there is one, else in the executors' storage."""
+    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.persist()
+
+
 def build_index(pages: DataFrame, documents: DataFrame, strategy: str = "sliding_window", d: Defaults = DEFAULTS, dim: int = 64) -> Index:
     """pages: doc_id, page, text; documents: doc_id, filename, version, effective_from, effective_until."""
     chunks = chunk_pages(pages.select("doc_id", "page", "text"), strategy, d.chunk_size, d.chunk_overlap)
@@ -37,10 +42,11 @@ def build_index(pages: DataFrame, documents: DataFrame, strategy: str = "sliding
         "*", F.xxhash64("doc_id", "chunk_index").alias("chunk_id"), n.text_hash(F.col("text")).alias("text_hash"),
         n.point_id(F.col("doc_id"), F.col("chunk_index")).alias("point_id"),
     )
-    postings = r.postings(r.lexed(chunks), "chunk_id", d.bm25_k1, d.bm25_b, d.bm25_avg_len)
+    chunks = kept(chunks)
+    postings = kept(r.postings(r.lexed(chunks), "chunk_id", d.bm25_k1, d.bm25_b, d.bm25_avg_len))
     named = chunks.join(documents.select("doc_id", "filename"), "doc_id", "left")
     prefixed = t.embedding_text(F.coalesce("filename", F.lit("unknown_doc")), F.col("zone"), F.col("text"))
-    vectors = named.select("chunk_id", "doc_id", r.hashed_embedding(prefixed, dim).alias("vector"))
+    vectors = kept(named.select("chunk_id", "doc_id", r.hashed_embedding(prefixed, dim).alias("vector")))
     return Index(chunks, postings, vectors, documents)
 
 
@@ -53,7 +59,7 @@ def analyse(queries: DataFrame, index: Index, reference, d: Defaults = DEFAULTS,
     open_queries = queries.select("query_id", "query").withColumn("query_used", F.col("query"))
     for attempt in range(d.recovery_attempts + 1):
         state = one_round(open_queries, index, reference, d, dim, k, attempt)
-        state = state.checkpoint() if state.sparkSession.sparkContext.getCheckpointDir() else state.persist()
+        state = kept(state)
         last = attempt == d.recovery_attempts
         closed = state if last else state.where("verdict = 'PASS'")
         done = closed if done is None else done.unionByName(closed)
@@ -83,7 +89,7 @@ def one_round(queries: DataFrame, index: Index, reference, d: Defaults, dim: int
     cut = r.adaptive_cut(r.best_per_chunk(valid), d.fusion_top_k, few=d.adaptive_k)
     best = r.rerank(cut.withColumn("query", F.col("query_used")).drop("fused_rank").withColumnRenamed("place", "fused_rank"), d.max_context_chunks)
     audited = e.verified_only(e.audit_integrity(best, index.chunks.select("doc_id", "chunk_index", "text_hash")))
-    served = e.segments(audited.withColumn("place", F.col("rerank_rank")), d.context_chars)
+    served = kept(e.segments(audited.withColumn("place", F.col("rerank_rank")), d.context_chars))
     answers = queries.join(e.extractive_answer(served), "query_id", "left").withColumn("answer", F.coalesce("answer", F.lit("ABSTAIN")))
     claims = e.decompose(answers.select("query_id", "answer"), d.max_claims)
     summary = e.claim_summary(e.judge(claims, served.select("query_id", "segment", "text")))
