@@ -44,8 +44,8 @@ from .common import connected_components, cut, doc_texts
 from .words import mix, shingle_hashes, slices
 
 SIZE, PERCENT = 5, 75
-#: Groups that a tree stands over, and the largest set whose counts surely fit 16 bits.
-GROUPS, FITS = 64, 65_535
+#: Groups that a tree stands over; the largest count that travels; the largest set that FULL in every group still bounds.
+GROUPS, FULL, FITS = 64, 255, 65_535
 #: A shingle with this share of all shingles is common; a slice reports a shingle that it met so often, at least.
 SHARE, LEAST_REPORT, LEAST_COMMON = 1e-5, 3, 200
 #: Shingle hashes in a tile of verification.
@@ -89,16 +89,18 @@ def needed(a, b, percent: int):
     return np.where(np.minimum(a, b) > FITS, 0, -(-(a + b) * percent // (100 + percent)))
 
 
-def width(n: float) -> int:
-    """Groups for sets of about n shingles: four shingles a group, so that the bound tells apart sets of any size."""
-    return int(np.clip(1 << int(np.ceil(np.log2(max(1.0, n / 4)))), GROUPS, WIDEST))
+def width(n: float, each: int = 4) -> int:
+    """Groups for sets of about n shingles: `each` shingles a group, so that the bound tells apart sets of any size."""
+    return int(np.clip(1 << int(np.ceil(np.log2(max(1.0, n / each)))), GROUPS, WIDEST))
 
 
 def packed(hashes: np.ndarray) -> bytes:
-    """A point in 16-bit counts; a set too large for them counts as having every group full, which no bound rules out."""
-    groups = width(len(hashes))
-    counts = counts_of(hashes, groups) if len(hashes) <= FITS else np.full(groups, FITS)
-    return counts.astype(np.uint16).tobytes()
+    """A point in 8-bit counts, eight shingles a group: what travels with every block that a set is in.
+
+    A set whose counts don't fit counts as having every group full, which no bound rules out.
+    """
+    counts = counts_of(hashes, width(len(hashes), 8))
+    return (counts if counts.max(initial=0) <= FULL else np.full(len(counts), FULL)).astype(np.uint8).tobytes()
 
 
 def prefix_length(n: int, percent: int) -> int:
@@ -310,7 +312,7 @@ def candidate_edges(blocks: DataFrame, percent: int) -> DataFrame:
             if len(nodes) < 2:
                 continue
             sizes = rows.column(2).to_numpy()[at]
-            packs = [np.frombuffer(x, np.uint16) for x in rows.column(3).take(pa.array(at)).to_pylist()]
+            packs = [np.frombuffer(x, np.uint8) for x in rows.column(3).take(pa.array(at)).to_pylist()]
             widths = np.array([len(x) for x in packs])
             # Sets that can link have equal or neighbouring widths: each width asks itself and the next.
             for w in np.unique(widths).tolist():
