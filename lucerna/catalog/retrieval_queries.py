@@ -6,12 +6,13 @@ from pyspark.sql import functions as F
 
 from ..functions import numbers as n
 from ..functions import text as t
+from ..functions.udfs import with_decomposed
 from ..operators import evaluate as ev
 from ..operators import evidence as e
 from ..operators import records as rec
 from ..operators import retrieval as r
 from . import query, table
-from .text_queries import ASCII, SQL_PREFIX, SQL_QUERY_TOKENS, SQL_STRIP, SQL_TOKENS, ascii_rows
+from .text_queries import ASCII, SQL_PREFIX, SQL_QUERY_TOKENS, SQL_STRIP, SQL_TOKENS
 
 # ---- sparse ----
 
@@ -28,19 +29,25 @@ SQL_INDEX = f"""
 """
 
 
+def _docs(spark, d):
+    return with_decomposed(table(spark, d, "documents").select("doc_id", "text"), "text")
+
+
+def _items(spark, d):
+    return with_decomposed(table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text"), "text")
+
+
 def _index(spark, d):
-    docs = r.lexed(ascii_rows(table(spark, d, "documents").select("doc_id", "text")))
-    return r.postings(docs.withColumn("zone", F.lit("body")), "doc_id")
+    return r.postings(r.lexed(_docs(spark, d)).withColumn("zone", F.lit("body")), "doc_id")
 
 
 def _questions(spark, d):
-    items = ascii_rows(table(spark, d, "benchmark")).select(F.col("item_id").alias("query_id"), "text")
-    return r.lexed(items, is_query=True).select("query_id", "terms")
+    return r.lexed(_items(spark, d), is_query=True).select("query_id", "terms")
 
 
 @query(f"WITH {SQL_INDEX} SELECT doc_id, term, tf FROM tf")
 def agg09_term_counts(spark, d):
-    return r.term_counts(r.lexed(ascii_rows(table(spark, d, "documents"))), "doc_id")
+    return r.term_counts(r.lexed(_docs(spark, d)), "doc_id")
 
 
 @query(f"WITH {SQL_INDEX} SELECT term, df FROM df")
@@ -193,9 +200,8 @@ def ret08_expanded_limits(spark, d):
 def ret07_rerank(spark, d):
     """Questions with their BM25 candidates, reranked by shared words."""
     found = r.sparse_search(_questions(spark, d), _index(spark, d), 20, "doc_id")
-    docs = table(spark, d, "documents").select("doc_id", "text")
-    items = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
-    rows = found.join(docs, "doc_id").join(items, "query_id").withColumnRenamed("sparse_rank", "fused_rank")
+    items = _items(spark, d).withColumnRenamed("text", "query")
+    rows = found.join(_docs(spark, d), "doc_id").join(items, "query_id").withColumnRenamed("sparse_rank", "fused_rank")
     return r.rerank(rows, 8, key="doc_id").select("query_id", "doc_id", F.round("rerank_score", 6).alias("score"), F.col("rerank_rank").alias("rk"))
 
 

@@ -40,10 +40,6 @@ SQL_QUERY_TOKENS = SQL_TOKENS.replace(_stop, _query_stop)
 ASCII = r"NOT regexp_matches(text, '[^\x00-\x7F]')"
 
 
-def ascii_rows(df):
-    return df.where(~F.col("text").rlike(r"[^\x00-\x7F]"))
-
-
 @query(f"SELECT doc_id, sha256({SQL_NORM}) AS digest, length({SQL_NORM}) AS chars FROM documents")
 def str01_normalize(spark, d):
     norm = t.normalize(F.col("text"))
@@ -52,7 +48,7 @@ def str01_normalize(spark, d):
 
 @query(f"SELECT doc_id, len(tk) AS tokens, sha256(array_to_string(tk, ' ')) AS digest FROM (SELECT doc_id, {SQL_TOKENS} AS tk FROM documents WHERE {ASCII})")
 def str02_lex_tokens(spark, d):
-    rows = ascii_rows(table(spark, d, "documents")).select("doc_id", t.tokens(t.normalize(F.col("text"))).alias("tk"))
+    rows = with_decomposed(table(spark, d, "documents").select("doc_id", "text"), "text").select("doc_id", t.tokens(t.normalize(F.col("text"))).alias("tk"))
     return rows.select("doc_id", F.size("tk").cast("long").alias("tokens"), n.text_hash(F.array_join("tk", " ")).alias("digest"))
 
 
@@ -70,7 +66,7 @@ def str03_stem_vocabulary(spark, d):
     f"list_transform(range(1, len(tk)), lambda i: tk[i] || '_' || tk[i + 1]) END AS bg FROM (SELECT item_id, {SQL_TOKENS} AS tk FROM benchmark WHERE {ASCII}))"
 )
 def str04_bigrams(spark, d):
-    rows = ascii_rows(table(spark, d, "benchmark")).select("item_id", t.ngrams(t.tokens(t.normalize(F.col("text")))).alias("bg"))
+    rows = with_decomposed(table(spark, d, "benchmark").select("item_id", "text"), "text").select("item_id", t.ngrams(t.tokens(t.normalize(F.col("text")))).alias("bg"))
     return rows.select("item_id", F.size("bg").cast("long").alias("bigrams"), n.text_hash(F.array_join("bg", " ")).alias("digest"))
 
 
@@ -149,7 +145,7 @@ def str11_strip_abstain(spark, d):
 )
 def str12_final_answer(spark, d):
     answer = F.concat(F.lit("[CONTEXT] c [ANSWER] Answer: "), "text", F.lit(" [REASONING] r"))
-    return ascii_rows(table(spark, d, "conversations")).select("conv_id", "turn", t.final_answer(answer).alias("answer"))
+    return table(spark, d, "conversations").select("conv_id", "turn", t.final_answer(answer).alias("answer"))
 
 
 @query(r"SELECT page_id, left(regexp_replace(url || chr(10) || chr(9) || html, '[\p{C}\p{Zl}\p{Zp}]|[\x{A0}\x{1680}\x{2000}-\x{200A}\x{202F}\x{205F}\x{3000}]', '', 'g'), 80) AS label FROM pages")
