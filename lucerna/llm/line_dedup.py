@@ -5,13 +5,20 @@ that many words counted from the sentence's end: a passage put into the middle o
 all but its first few words' unit with its other occurrences. A unit is normalised to its lower-case words. Units
 of fewer than least_words words are neutral: they neither match nor break a run.
 
-The digests of all units are grouped over the whole corpus: for each, the occurrence that ranks first (by
-doc_id, then place) is kept. A run of neighbouring repeated units in a document is removed if it holds
-min_words words, with the offsets that it had in the original text.
+Besides, each window of min_words words gives one of its stretches of (min_words + 1) / 2 words, the one with the
+least hash, so that any passage of min_words words shares a stretch with its other occurrences, wherever sentences
+and lines end. Stretches that touch are a run, and the run's ends are moved outward word by word as far as the
+kept occurrence of the stretch there reads the same. A stretch that overlaps its own first occurrence doesn't count.
 
-Exchanges carry fixed-width rows, never texts. The first occurrence is a minimum, combined before the shuffle;
-giving it back to the occurrences is an equi-join with a row a digest on one side, whose hot keys adaptive
-execution splits. Runs are found per document.
+The digests of all units and stretches are grouped over the whole corpus: for each, the occurrence that ranks first (by
+doc_id, then place) is kept. A run of neighbouring repeated units in a document, a run of stretches, or both where they
+touch, is removed if it holds min_words words, with the offsets that it had in the original text.
+
+Exchanges carry fixed-width rows; texts are exchanged once, by doc_id, to read the words around the ends of runs.
+The first occurrence is a minimum, combined before the shuffle; giving it back to the occurrences is an equi-join with
+a row a digest on one side, whose hot keys adaptive execution splits. Runs are found per document.
+
+A word next to a stretch is missed where it repeats another, later occurrence than the one kept of that stretch.
 
 Defined results: null and empty texts have no units; rows that share doc_id are one document whose units are
 ranked by place, so exact repeats of a row are not removed by each other; an empty table gives an empty result;
@@ -29,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import doc_texts
+from .common import cut, doc_texts
 from .words import Words, run_hashes, slices
 
 UNIT_WORDS, LEAST_WORDS, MIN_WORDS = 12, 3, 25
@@ -54,8 +61,27 @@ def unit_bounds(words: Words, unit_words: int = UNIT_WORDS) -> tuple[np.ndarray,
     return first, np.append(first[1:], n)
 
 
-def text_units(docs: DataFrame, unit_words: int = UNIT_WORDS, least_words: int = LEAST_WORDS) -> DataFrame:
-    """digest, doc_id, unit (number in the document), start and stop (code points) and words of every unit that counts."""
+def stretches(words: Words, size: int) -> np.ndarray:
+    """First words of the stretches of `size` words that windows of 2 * size - 1 words of a row give: the least hash, the last on ties."""
+    n = len(words.starts) - 2 * size + 2
+    if n < 1:
+        return np.zeros(0, np.int64)
+    at = np.arange(n + size - 1)
+    hashes = run_hashes(words.hashes, at, at + size)
+    windows = np.lib.stride_tricks.sliding_window_view(hashes, size)[:, ::-1]
+    row = np.searchsorted(words.rows, np.arange(len(words.starts)), "right")
+    inside = np.flatnonzero(row[:n] == row[2 * size - 2 :])
+    return np.unique(inside + size - 1 - windows[inside].argmin(1))
+
+
+def code_points(words: Words) -> np.ndarray:
+    """Code points before each byte: bytes that don't continue a character."""
+    return np.concatenate(([0], np.cumsum((words.data & 0xC0) != 0x80)))
+
+
+def text_units(docs: DataFrame, unit_words: int = UNIT_WORDS, least_words: int = LEAST_WORDS, size: int = (MIN_WORDS + 1) // 2) -> DataFrame:
+    """Every unit that counts and every stretch: digest, doc_id, unit (number in the document; a stretch's first word), word
+    (the first), start and stop (code points; of units alone), words, and whether it is a stretch."""
 
     def units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -64,52 +90,143 @@ def text_units(docs: DataFrame, unit_words: int = UNIT_WORDS, least_words: int =
                 first, stop = unit_bounds(words, unit_words)
                 keep = stop - first >= least_words
                 first, stop = first[keep], stop[keep]
-                # Code points: bytes that don't continue a character.
-                chars = np.concatenate(([0], np.cumsum((words.data & 0xC0) != 0x80)))
+                chars = code_points(words)
                 row = np.searchsorted(words.rows, first, "right") - 1
                 base = chars[words.offsets[row]]
+                found = stretches(words, size)
+                none = np.zeros(len(found), np.int32)
+                place = np.searchsorted(words.rows, found, "right") - 1
+                word = found - words.rows[place]
+                own = run_hashes(words.hashes, found, found + size)
+                columns = [
+                    (run_hashes(words.hashes, first, stop).view(np.int64), own.view(np.int64)),
+                    (ids[start:end][row], ids[start:end][place]),
+                    (np.arange(len(row)) - np.searchsorted(row, row), word),
+                    (first - words.rows[row], word),
+                    (chars[words.starts[first]] - base, none),
+                    (chars[words.ends[stop - 1]] - base, none),
+                    (stop - first, none + size),
+                    (np.zeros(len(row), bool), np.ones(len(found), bool)),
+                ]
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(run_hashes(words.hashes, first, stop).view(np.int64)),
-                        pa.array(ids[start:end][row]),
-                        pa.array((np.arange(len(row)) - np.searchsorted(row, row)).astype(np.int32)),
-                        pa.array((chars[words.starts[first]] - base).astype(np.int32)),
-                        pa.array((chars[words.ends[stop - 1]] - base).astype(np.int32)),
-                        pa.array((stop - first).astype(np.int32)),
-                    ],
-                    names=["digest", "doc_id", "unit", "start", "stop", "words"],
+                    [pa.array(np.concatenate(c).astype(t)) for c, t in zip(columns, ("i8", "i8", "i4", "i4", "i4", "i4", "i4", bool), strict=True)],
+                    names=["digest", "doc_id", "unit", "word", "start", "stop", "words", "stretch"],
                 )
 
-    return doc_texts(docs).mapInArrow(units, "digest long, doc_id long, unit int, start int, stop int, words int")
+    return doc_texts(docs).mapInArrow(units, "digest long, doc_id long, unit int, word int, start int, stop int, words int, stretch boolean")
+
+
+def words_beside(docs: DataFrame, ends: DataFrame, reach: int) -> DataFrame:
+    """Of each end (doc_id, word, ahead): the hashes of up to `reach` words from there on (ahead) or back, nearest first, and
+    code points: where a span ends that takes none, one, two ... of them (ahead), or begins."""
+    asked = ends.groupBy("doc_id").agg(F.collect_set(F.struct("word", "ahead")).alias("asked")).withColumnRenamed("doc_id", "asked_id")
+    texts = doc_texts(docs)
+    rows = texts.join(asked, texts["doc_id"] == asked["asked_id"]).select("doc_id", "text", "asked")
+
+    def beside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, lists = batch.column(0).to_numpy(), batch.column(2)
+            for start, end, words in slices(batch.column(1)):
+                chars, out = code_points(words), []
+                hashes = words.hashes.view(np.int64)
+                for i in range(start, end):
+                    low, high = words.rows[i - start], words.rows[i - start + 1] if i - start + 1 < len(words.rows) else len(words.starts)
+                    base = chars[words.offsets[i - start]]
+                    for x in lists[i].as_py():
+                        w = low + x["word"]
+                        if not low <= w <= high:
+                            continue  # another row of this doc_id
+                        if x["ahead"]:
+                            far = min(high, w + reach)
+                            near, at = hashes[w:far], chars[words.ends[max(w - 1, low) : far]] - base
+                        else:
+                            far = max(low, w - reach)
+                            near, at = hashes[far:w][::-1], chars[words.starts[far : w + 1][::-1]] - base
+                        out.append((ids[i], x["word"], x["ahead"], near.tolist(), at.tolist()))
+                if out:
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.bool_(), pa.list_(pa.int64()), pa.list_(pa.int32())), strict=True)],
+                        names=["doc_id", "word", "ahead", "near", "at"],
+                    )
+
+    found = rows.mapInArrow(beside, "doc_id long, word int, ahead boolean, near array<long>, at array<int>")
+    return found.groupBy("doc_id", "word", "ahead").agg(F.min(F.struct("near", "at")).alias("_x")).select("doc_id", "word", "ahead", "_x.*")
+
+
+def merged(spans: DataFrame, *more) -> DataFrame:
+    """Spans of a document (low, high: words) that touch or overlap, as islands; `more` are further aggregates."""
+    order = W.partitionBy("doc_id").orderBy("low", "high")
+    before = F.max("high").over(order.rowsBetween(W.unboundedPreceding, -1))
+    island = F.sum(F.when(F.col("low") <= before, 0).otherwise(1)).over(order.rowsBetween(W.unboundedPreceding, 0))
+    spans = spans.withColumn("island", island)
+    return spans.groupBy("doc_id", "island").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.min("first_doc_id").alias("first_doc_id"), *more)
+
+
+def stretch_runs(docs: DataFrame, repeats: DataFrame, size: int) -> DataFrame:
+    """Runs of repeated stretches, their ends moved outward along the kept occurrences: doc_id, low, high, start, stop, first_doc_id."""
+    clear = (F.col("doc_id") != F.col("first.doc_id")) | (F.col("word") >= F.col("first.unit") + size)
+    found = repeats.where("stretch").where(clear).select(
+        "doc_id", F.col("word").alias("low"), (F.col("word") + size).alias("high"), F.col("first.doc_id").alias("first_doc_id"), F.col("first.unit").alias("first_word")
+    ).distinct()
+    edge = F.struct("low", "first_doc_id", "first_word")
+    runs = cut(merged(found, F.min(edge).alias("head"), F.max(edge).alias("tail")))
+    ends = runs.select(
+        "doc_id", "island", F.explode(F.array(
+            F.struct(F.lit(False).alias("ahead"), F.col("low").alias("word"), F.col("head.first_doc_id").alias("kept_id"), F.col("head.first_word").alias("kept_word")),
+            F.struct(F.lit(True).alias("ahead"), F.col("high").alias("word"), F.col("tail.first_doc_id").alias("kept_id"), (F.col("tail.first_word") + size).alias("kept_word")),
+        )).alias("e"),
+    ).select("doc_id", "island", "e.*")
+    kept = ends.select(F.col("kept_id").alias("doc_id"), F.col("kept_word").alias("word"), "ahead")
+    beside = cut(words_beside(docs, ends.select("doc_id", "word", "ahead").unionByName(kept).distinct(), size - 1))
+    other = beside.select(F.col("doc_id").alias("kept_id"), F.col("word").alias("kept_word"), "ahead", F.col("near").alias("kept_near"))
+    both = ends.join(beside, ["doc_id", "word", "ahead"]).join(other, ["kept_id", "kept_word", "ahead"])
+    differs = F.array_position(F.zip_with("near", "kept_near", lambda a, b: a.eqNullSafe(b)), False)
+    more = F.when(differs > 0, differs - 1).otherwise(F.size("near")).cast("int")
+    moved = both.withColumn("more", more).withColumn("chars", F.get("at", F.col("more")))
+    at = lambda ahead, value: F.max(F.when(F.col("ahead") == ahead, F.col(value)))
+    sides = moved.groupBy("doc_id", "island").agg(
+        at(False, "more").alias("back"), at(True, "more").alias("on"), at(False, "chars").alias("start"), at(True, "chars").alias("stop")
+    )
+    return runs.join(sides, ["doc_id", "island"]).select("doc_id", (F.col("low") - F.col("back")).alias("low"), (F.col("high") + F.col("on")).alias("high"), "start", "stop", "first_doc_id")
 
 
 def repeated_spans(
     docs: DataFrame, min_words: int = MIN_WORDS, unit_words: int = UNIT_WORDS, least_words: int = LEAST_WORDS
 ) -> DataFrame:
     """doc_id, start, stop (code points of the text as it was), words and first_doc_id of every span to remove."""
-    units = text_units(docs, unit_words, least_words)
+    size = (min_words + 1) // 2
+    units = text_units(docs, unit_words, least_words, size)
     place = F.struct("doc_id", "unit")
     firsts = (
-        units.groupBy("digest")
+        units.groupBy("digest", "stretch")
         .agg(F.min(place).alias("first"), F.max(place).alias("last"))
         .where("first <> last")
-        .select("digest", "first")
+        .select("digest", "stretch", "first")
     )
-    repeats = units.join(firsts, "digest").where((F.col("doc_id") != F.col("first.doc_id")) | (F.col("unit") != F.col("first.unit")))
+    repeats = units.join(firsts, ["digest", "stretch"]).where((F.col("doc_id") != F.col("first.doc_id")) | (F.col("unit") != F.col("first.unit")))
+    repeats = cut(repeats.drop("digest"))
     by_doc = W.partitionBy("doc_id").orderBy("unit")
     # Repeats of one row share doc_id and unit; they are the same place and stay together.
     island = F.col("unit") - F.dense_rank().over(by_doc)
     runs = (
-        repeats.select("doc_id", "unit", "start", "stop", "words", F.col("first.doc_id").alias("first_doc_id"))
+        repeats.where("NOT stretch")
+        .select("doc_id", "unit", "word", "start", "stop", "words", F.col("first.doc_id").alias("first_doc_id"))
         .distinct()
         .withColumn("island", island)
         .groupBy("doc_id", "island")
         .agg(
+            F.min("word").alias("low"), F.max(F.col("word") + F.col("words")).alias("high"),
             F.min("start").alias("start"), F.max("stop").alias("stop"),
-            F.sum("words").alias("words"), F.min("first_doc_id").alias("first_doc_id"),
+            F.sum("words").alias("counted"), F.min("first_doc_id").alias("first_doc_id"),
         )
+        .drop("island")
     )
-    return runs.where(F.col("words") >= min_words).select("doc_id", "start", "stop", "words", "first_doc_id")
+    both = runs.unionByName(stretch_runs(docs, repeats, size).withColumn("counted", F.lit(None).cast("long")))
+    spans = merged(
+        both, F.min("start").alias("start"), F.max("stop").alias("stop"), F.max("counted").alias("counted"), F.bool_or(F.col("counted").isNull()).alias("matched")
+    ).withColumn("words", (F.col("high") - F.col("low")).cast("long"))
+    enough = (F.col("counted") >= min_words) | (F.col("matched") & (F.col("words") >= min_words))
+    return spans.where(enough).select("doc_id", "start", "stop", "words", "first_doc_id")
 
 
 def without_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
