@@ -190,9 +190,7 @@ _verbs = _sql_list(w.PREDICATES)
     """
 )
 def str17_triples(spark, d):
-    tail = F.when(F.col("turn") % 3 == 0, " Covers and is new.").when(F.col("turn") % 3 == 1, " has it").otherwise("")
-    claim = F.concat(F.lit("The plan of "), F.substring("text", 1, 30), tail)
-    return table(spark, d, "conversations").select("conv_id", "turn", t.claim_triple(claim).alias("t")).select("conv_id", "turn", "t.*")
+    return table(spark, d, "conversations").select("conv_id", "turn", t.claim_triple(F.col("text")).alias("t")).select("conv_id", "turn", "t.*")
 
 
 _names = [x for v in w.VERDICT_NAMES.values() for x in v] + ["maybe", "s", "Supported.", "n/a;", " refuted "]
@@ -313,14 +311,13 @@ def fil15_scaffold_echo(spark, d):
 
 @query(f"SELECT conv_id, turn, r <> '' AND {_echo} AS echoes FROM (SELECT conv_id, turn, CASE turn % 2 WHEN 0 THEN left(text, 60) ELSE 'Your task: ' || left(text, 20) END AS r FROM conversations)")
 def fil16_instruction_echo(spark, d):
-    text = F.when(F.col("turn") % 2 == 0, F.substring("text", 1, 60)).otherwise(F.concat(F.lit("Your task: "), F.substring("text", 1, 20)))
-    return table(spark, d, "conversations").select("conv_id", "turn", t.is_instruction_echo(text).alias("echoes"))
+    return table(spark, d, "conversations").select("conv_id", "turn", t.is_instruction_echo(F.col("text")).alias("echoes"))
 
 
 @query("SELECT conv_id, turn, turn % 2 = 1 AND trim(left(text, 12)) <> 'ABSTAIN' AND len(list_filter(string_split_regex(left(text, 12), '\\s+'), lambda x: x <> '')) < 5 AS stub FROM conversations")
 def fil17_stubs(spark, d):
     status = F.when(F.col("turn") % 2 == 1, "FAILED").otherwise("TRUSTED")
-    return table(spark, d, "conversations").select("conv_id", "turn", t.is_degenerate_stub(status, F.lit(0), F.substring("text", 1, 12)).alias("stub"))
+    return table(spark, d, "conversations").select("conv_id", "turn", t.is_degenerate_stub(status, F.lit(0), F.col("text")).alias("stub"))
 
 
 # ---- dates, hashes, content checks ----
@@ -363,7 +360,7 @@ def mat05_hashed_terms(spark, d):
 
 @query("SELECT doc_id, length(regexp_replace(left(text, (doc_id % 100)::INT), '^\\s+|\\s+$', '', 'g')) < 50 AS needs_ocr FROM documents")
 def src08_ocr_gate(spark, d):
-    return table(spark, d, "documents").select("doc_id", files.needs_ocr(F.substring("text", F.lit(1), (F.col("doc_id") % 100).cast("int"))).alias("needs_ocr"))
+    return table(spark, d, "documents").select("doc_id", files.needs_ocr(F.col("text")).alias("needs_ocr"))
 
 
 @query("SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN starts_with(c, '%PDF') WHEN 1 THEN starts_with(c, 'GIF87a') OR starts_with(c, 'GIF89a') ELSE true END AS ok FROM (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN '%PDF' WHEN doc_id % 5 = 0 THEN 'GIF89a' ELSE '' END || text AS c FROM documents)")
@@ -454,13 +451,8 @@ _ask = "CASE conv_id % 5 WHEN 0 THEN 'Compare plan ' || conv_id::VARCHAR || ' an
     "CASE WHEN conv_id % 5 = 1 THEN TIMESTAMP '2025-07-01' END AS reference_time FROM (SELECT DISTINCT conv_id FROM conversations)"
 )
 def ret05_routes(spark, d):
-    c, k = F.col("conv_id").cast("string"), F.col("conv_id") % 5
-    ask = (
-        F.when(k == 0, F.concat(F.lit("Compare plan "), c, F.lit(" and plan B"))).when(k == 1, F.concat(F.lit("fees in 2025 for "), c))
-        .when(k == 2, F.concat(F.lit("What is A? Why "), c, F.lit("? How? Really?"))).when(k == 3, F.concat(F.lit("Pro vs. Team "), c, F.lit("?"))).otherwise(F.concat(F.lit("plain words "), c))
-    )
-    rows = table(spark, d, "conversations").select("conv_id").distinct().select("conv_id", route(ask).alias("r"))
-    return rows.select("conv_id", "r.route", F.array_join("r.sub_queries", "|").alias("subs"), F.col("r.reference_time").cast("timestamp_ntz").alias("reference_time"))
+    rows = table(spark, d, "conversations").select("conv_id", "turn", route(F.col("text")).alias("r"))
+    return rows.select("conv_id", "turn", "r.route", F.array_join("r.sub_queries", "|").alias("subs"), F.col("r.reference_time").cast("timestamp_ntz").alias("reference_time"))
 
 
 @query("SELECT doc_id, (s // 448)::INT AS chunk_index, s::INT AS character_offset, sha256(substring(text, s + 1, 512)) AS digest FROM (SELECT doc_id, text, unnest(range(0, greatest((length(text) - 65) // 448, 0) * 448 + 1, 448)) AS s FROM documents WHERE length(text) > 0)")

@@ -93,3 +93,25 @@ def test_final_answers_of_all_turns(spark, folder):
     got = {(c, k): x for c, k, x in rows(spark, folder, "str12_final_answer")}
     assert set(got) == {(c, k) for c, k, _, _ in TURNS} and got[2, 0] is None
     assert got[1, 0].startswith(TURNS[0][3]) and got[1, 1] == TURNS[1][3]
+
+
+LONG = "so it goes on " * 12
+WHOLE_TURNS = [
+    (1, 0, "user", "Compare the basic plan and the family plan"), (1, 1, "assistant", LONG), (2, 0, "user", "The long clause at the very end of this contract covers all damage."),
+    (2, 1, "assistant", "unquestionably so it is in the end"), (3, 0, "user", "What held in 2025 for us?"), (3, 1, "assistant", "no idea"),
+]
+
+
+def test_whole_texts(spark, tmp_path):
+    catalog.load_all()
+    folder = str(tmp_path)
+    spark.createDataFrame(WHOLE_TURNS, "conv_id long, turn int, role string, text string").write.parquet(f"{folder}/conversations.parquet")
+    spark.createDataFrame([(100, "x" * 60), (101, " short "), (102, None)], "doc_id long, text string").write.parquet(f"{folder}/documents.parquet")
+    assert {(c, k) for c, k, x in rows(spark, folder, "fil16_instruction_echo") if x} == {(1, 1)}
+    assert {(c, k) for c, k, x in rows(spark, folder, "fil17_stubs") if x} == {(3, 1)}
+    triples = {(c, k): x for c, k, *x in rows(spark, folder, "str17_triples")}
+    assert triples[2, 0] == ["The long clause at the very end of this contract", "covers", "all damage"]
+    assert dict(rows(spark, folder, "src08_ocr_gate")) == {100: False, 101: True, 102: True}
+    routes = {(c, k): x for c, k, *x in rows(spark, folder, "ret05_routes")}
+    assert routes[1, 0][:2] == ["comparison", "the basic plan|the family plan"] and routes[3, 0][0] == "temporal" and routes[3, 0][2].year == 2025
+    assert set(routes) == {(c, k) for c, k, _, _ in WHOLE_TURNS}
