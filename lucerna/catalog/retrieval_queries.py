@@ -118,17 +118,25 @@ SQL_LEGS = f"""
 """
 
 
-def _legs(spark, d):
-    dense = r.dense_search(_vector_queries(spark, d), _vectors(spark, d), 20, "vec_id")
-    moved = F.col("vec_id") + F.when(F.col("dense_rank") % 3 == 0, 7).otherwise(0)
-    second = dense.where("(vec_id + query_id) % 2 = 0 OR dense_rank < 5").select("query_id", moved.alias("vec_id"), (21 - F.col("dense_rank")).alias("sparse_rank"))
-    return dense, second.groupBy("query_id", "vec_id").agg(F.min("sparse_rank").alias("sparse_rank"))
+def _asked(items):
+    """Questions with terms and vectors."""
+    return r.lexed(items, is_query=True).select("query_id", "terms", r.hashed_embedding(F.col("text")).alias("query_vector"))
+
+
+def _document_vectors(spark, d):
+    return _docs(spark, d).select("doc_id", r.hashed_embedding(F.col("text")).alias("vector"))
+
+
+def _fused(spark, d, items):
+    """Both legs over documents, fused."""
+    asked = _asked(items)
+    dense = r.dense_search(asked, _document_vectors(spark, d), 20, "doc_id")
+    return r.fuse(dense, r.sparse_search(asked.select("query_id", "terms"), _index(spark, d), 20, "doc_id"), key="doc_id")
 
 
 @query(f"WITH {SQL_LEGS} SELECT query_id, vec_id, round(rrf, 9) AS rrf, rk::INT AS rk FROM ranked")
 def ret03_rank_fusion(spark, d):
-    dense, sparse = _legs(spark, d)
-    return r.fuse(dense, sparse, key="vec_id").select("query_id", "vec_id", F.round("rrf_score", 9).alias("rrf"), F.col("fused_rank").alias("rk"))
+    return _fused(spark, d, _items(spark, d)).select("query_id", "doc_id", F.round("rrf_score", 9).alias("rrf"), F.col("fused_rank").alias("rk"))
 
 
 @query(
@@ -136,8 +144,7 @@ def ret03_rank_fusion(spark, d):
     "SELECT query_id, vec_id, place::INT AS place FROM c WHERE place <= CASE WHEN best >= 0.02 THEN 4 ELSE 15 END"
 )
 def top04_adaptive_cut(spark, d):
-    dense, sparse = _legs(spark, d)
-    return r.adaptive_cut(r.fuse(dense, sparse, key="vec_id"), 15, tie="vec_id").select("query_id", "vec_id", "place")
+    return r.adaptive_cut(_fused(spark, d, _items(spark, d)), 15, tie="doc_id").select("query_id", "doc_id", "place")
 
 
 @query(
@@ -145,10 +152,12 @@ def top04_adaptive_cut(spark, d):
     "(SELECT *, row_number() OVER (PARTITION BY query_id, vec_id ORDER BY rrf DESC, sub_query) AS n FROM b) WHERE n = 1"
 )
 def win03_fanout_merge(spark, d):
-    dense, sparse = _legs(spark, d)
-    fused = r.fuse(dense, sparse, key="vec_id")
-    branches = fused.select(F.floor(F.col("query_id") / 100).alias("query_id"), F.col("query_id").alias("sub_query"), "vec_id", "rrf_score")
-    return r.best_per_chunk(branches, "vec_id").select("query_id", "sub_query", "vec_id", F.round("rrf_score", 9).alias("rrf"))
+    """Each question's sub-questions, as the router makes them, searched on their own."""
+    items = table(spark, d, "benchmark").select("item_id", F.posexplode(r.route(F.col("text"))["sub_queries"]).alias("sub_query", "text"))
+    subs = items.select(F.col("item_id"), "sub_query", F.xxhash64("item_id", "sub_query").alias("query_id"), "text")
+    fused = _fused(spark, d, with_decomposed(subs.select("query_id", "text"), "text"))
+    branches = fused.join(subs.drop("text"), "query_id").select(F.col("item_id").alias("query_id"), "sub_query", "doc_id", "rrf_score")
+    return r.best_per_chunk(branches, "doc_id").select("query_id", "sub_query", "doc_id", F.round("rrf_score", 9).alias("rrf"))
 
 
 @query(
@@ -180,14 +189,13 @@ def fil07_temporal_validity(spark, d):
     """
 )
 def ret04_hybrid(spark, d):
-    dense, sparse = _legs(spark, d)
-    fused = r.fuse(dense, sparse, key="vec_id").withColumn("doc_id", F.col("vec_id"))
-    documents = table(spark, d, "embeddings").select(
-        F.col("vec_id").alias("doc_id"), F.when(F.col("vec_id") % 3 == 0, F.lit("2026-01-01").cast("timestamp")).alias("effective_from"),
-        F.lit(None).cast("timestamp").alias("effective_until"), F.lit("1.0").alias("version"), F.lit("f").alias("filename"),
-    )
-    valid = r.valid_at(fused, documents, F.lit("2025-07-01").cast("timestamp"))
-    return r.adaptive_cut(valid, 10, tie="vec_id").select("query_id", "vec_id", "place")
+    """A document is its own chunk; it holds in the time that its text states."""
+    dates = [n.effective_date(F.col("text"), edge).cast("timestamp").alias(f"effective_{edge}") for edge in ("from", "until")]
+    documents = table(spark, d, "documents").select("doc_id", *dates, F.lit("1.0").alias("version"), F.lit("f").alias("filename"))
+    index = _index(spark, d).withColumnRenamed("doc_id", "chunk_id")
+    vectors = _document_vectors(spark, d).withColumn("chunk_id", F.col("doc_id"))
+    found = r.hybrid(_asked(_items(spark, d)), index, vectors, documents, F.lit("2025-07-01").cast("timestamp"), 20, 20, 10)
+    return found.select("query_id", "doc_id", "place")
 
 
 @query("SELECT doc_id, least(2 * k, cap + 16)::INT AS top_k, least(2 * cap, cap + 4)::INT AS context FROM (SELECT doc_id, doc_id % 40 AS k, doc_id % 9 AS cap FROM documents)")

@@ -4,6 +4,7 @@ import hashlib
 import math
 import re
 import unicodedata
+import zlib
 from collections import Counter
 
 import pytest
@@ -115,3 +116,34 @@ def test_whole_texts(spark, tmp_path):
     routes = {(c, k): x for c, k, *x in rows(spark, folder, "ret05_routes")}
     assert routes[1, 0][:2] == ["comparison", "the basic plan|the family plan"] and routes[3, 0][0] == "temporal" and routes[3, 0][2].year == 2025
     assert set(routes) == {(c, k) for c, k, _, _ in WHOLE_TURNS}
+
+
+def plain_ranks():
+    """Dense ranks of all documents for each question."""
+
+    def vector(words):
+        out = [0.0] * 64
+        for x in words:
+            code = zlib.crc32(x.encode())
+            out[code % 64] += 1 if code // 64 % 2 == 0 else -1
+        size = math.sqrt(sum(v * v for v in out))
+        return [v / size for v in out] if size else out
+
+    ranks, vectors = {}, {i: vector(plain_tokens(x)) for i, x in DOCS}
+    for q, text in ITEMS:
+        own = vector(plain_tokens(text))
+        order = sorted(vectors, key=lambda i: (-round(sum(a * b for a, b in zip(own, vectors[i], strict=True)), 9), i))
+        ranks |= {(q, i): k for k, i in enumerate(order, 1)}
+    return ranks
+
+
+def test_fusion_of_both_legs(spark, folder):
+    dense, sparse = plain_ranks(), plain_bm25()
+    want = {k: 1 / (60 + r) + (1 / (60 + sparse[k][1]) if k in sparse else 0) for k, r in dense.items()}
+    assert {(q, i): x for q, i, x, _ in rows(spark, folder, "ret03_rank_fusion")} == pytest.approx(want, abs=1e-8)
+    best = {}
+    for q, _ in ITEMS:
+        order = sorted((i for i, _ in DOCS), key=lambda i: (-want[q, i], i))
+        best |= {(q, i): k for k, i in enumerate(order[: 4 if max(want[q, j] for j in order) >= 0.02 else 10], 1)}
+    assert {(q, i): k for q, i, k in rows(spark, folder, "ret04_hybrid")} == best == {(q, i): k for q, i, k in rows(spark, folder, "top04_adaptive_cut")}
+    assert {(q, i) for q, _, i, _ in rows(spark, folder, "win03_fanout_merge")} == set(want)
