@@ -1,28 +1,26 @@
 """Substring deduplication by hashes of lines and sentences.
 
-Units are lines, cut further at sentence ends, and sentences longer than unit_words cut into stretches of
-that many words counted from the sentence's end: a passage put into the middle of a sentence so still shares
-all but its first few words' unit with its other occurrences. A unit is normalised to its lower-case words. Units
-of fewer than least_words words are neutral: they neither match nor break a run.
-
-Besides, each window of min_words words gives one of its stretches of (min_words + 1) / 2 words, the one with the
-least hash, so that any passage of min_words words shares a stretch with its other occurrences, wherever sentences
-and lines end. Stretches that touch are a run, and the run's ends are moved outward word by word as far as the
-kept occurrence of the stretch there reads the same. A stretch that overlaps its own first occurrence doesn't count.
-
-The digests of all units and stretches are grouped over the whole corpus: for each, the occurrence that ranks first (by
-doc_id, then place) is kept. A run of neighbouring repeated units in a document, a run of stretches, or both where they
-touch, is removed if it holds min_words words, with the offsets that it had in the original text.
-
-Exchanges carry fixed-width rows; texts are exchanged once, by doc_id, to read the words around the ends of runs.
-The first occurrence is a minimum, combined before the shuffle; giving it back to the occurrences is an equi-join with
-a row a digest on one side, whose hot keys adaptive execution splits. Runs are found per document.
+Units are lines, cut further at sentence ends, normalised to their lower-case words. Units of fewer than least_words
+words are neutral: they neither match nor break a run. Besides, each window of min_words words gives one of its stretches of
+(min_words + 1) / 2 words, the one with the least hash: a unit whose place the text itself decides, so that any passage of
+min_words words shares one with its other occurrences, wherever sentences and lines end.
+
+The digests of all units and stretches are grouped over the whole corpus; of each, the occurrence that ranks first (by
+doc_id, then place) is kept. Repeated units that neighbour each other are a run, and so are stretches that touch; the ends
+of a run of stretches are moved outward word by word as far as the kept occurrence of the stretch there reads the same. A
+stretch that overlaps its own first occurrence doesn't count. Runs that touch are one. A run is removed if its units hold
+min_words words, or if it has a stretch and is min_words words long; its offsets are those in the original text.
+
+Exchanges carry three longs an occurrence: digest, doc_id, and a place that packs first word, words and kind. Digests are
+grouped by a count and a minimum, combined before the shuffle; what repeats goes back to the occurrences by an equi-join
+with a row a digest on one side, whose hot keys adaptive execution splits. Only texts of documents that have runs, or keep
+what others repeat, are exchanged, once, by doc_id, for the words beside the runs' ends and their offsets.
 
 A word next to a stretch is missed where it repeats another, later occurrence than the one kept of that stretch.
 
-Defined results: null and empty texts have no units; rows that share doc_id are one document whose units are
-ranked by place, so exact repeats of a row are not removed by each other; an empty table gives an empty result;
-columns other than doc_id and text are not read.
+Defined results: null and empty texts have no units; rows without doc_id are left out; rows that share doc_id are one
+document whose units are ranked by place, so exact repeats of a row are not removed by each other; an empty table gives
+an empty result; columns other than doc_id and text are not read, without_spans carries them along.
 """
 
 from __future__ import annotations
@@ -36,15 +34,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut, doc_texts
-from .words import Words, run_hashes, slices
+from .common import cut, doc_texts, fresh, maybe_among
+from .words import Words, mix, run_hashes, slices
 
-UNIT_WORDS, LEAST_WORDS, MIN_WORDS = 12, 3, 25
+LEAST_WORDS, MIN_WORDS = 3, 25
 _STOP = np.zeros(256, bool)
 _STOP[[ord("."), ord("!"), ord("?")]] = True
+_STRETCH = np.uint64(0xD6E8FEB86659FD93)
 
 
-def unit_bounds(words: Words, unit_words: int = UNIT_WORDS) -> tuple[np.ndarray, np.ndarray]:
+def unit_bounds(words: Words) -> tuple[np.ndarray, np.ndarray]:
     """First word and end word of every unit of a slice."""
     n = len(words.starts)
     if not n:
@@ -54,11 +53,7 @@ def unit_bounds(words: Words, unit_words: int = UNIT_WORDS) -> tuple[np.ndarray,
     last[:-1] |= feeds[words.starts[1:]] > feeds[words.ends[:-1]]
     last[words.rows[1:][words.rows[1:] > 0] - 1] = True
     ends = np.flatnonzero(last) + 1
-    sentence = np.searchsorted(ends, np.arange(n), "right")
-    to_go = ends[sentence] - np.arange(n)
-    begins = np.concatenate(([True], sentence[1:] != sentence[:-1])) | (to_go % unit_words == 0)
-    first = np.flatnonzero(begins)
-    return first, np.append(first[1:], n)
+    return np.concatenate(([0], ends[:-1])), ends
 
 
 def stretches(words: Words, size: int) -> np.ndarray:
@@ -68,10 +63,16 @@ def stretches(words: Words, size: int) -> np.ndarray:
         return np.zeros(0, np.int64)
     at = np.arange(n + size - 1)
     hashes = run_hashes(words.hashes, at, at + size)
-    windows = np.lib.stride_tricks.sliding_window_view(hashes, size)[:, ::-1]
     row = np.searchsorted(words.rows, np.arange(len(words.starts)), "right")
     inside = np.flatnonzero(row[:n] == row[2 * size - 2 :])
-    return np.unique(inside + size - 1 - windows[inside].argmin(1))
+    # The least of each window: minima over ever longer stretches of hashes, by halves.
+    least, reach = at.copy(), 1
+    while reach < size:
+        step = min(reach, size - reach)
+        later = least[step:]
+        least = np.where(hashes[later] <= hashes[least[: len(later)]], later, least[: len(later)])
+        reach += step
+    return np.unique(least[inside])
 
 
 def code_points(words: Words) -> np.ndarray:
@@ -79,48 +80,71 @@ def code_points(words: Words) -> np.ndarray:
     return np.concatenate(([0], np.cumsum((words.data & 0xC0) != 0x80)))
 
 
-def text_units(docs: DataFrame, unit_words: int = UNIT_WORDS, least_words: int = LEAST_WORDS, size: int = (MIN_WORDS + 1) // 2) -> DataFrame:
-    """Every unit that counts and every stretch: digest, doc_id, unit (number in the document; a stretch's first word), word
-    (the first), start and stop (code points; of units alone), words, and whether it is a stretch."""
+def text_units(docs: DataFrame, least_words: int = LEAST_WORDS, size: int = (MIN_WORDS + 1) // 2) -> DataFrame:
+    """Every unit that counts and every stretch: digest, doc_id and place (first word, words, whether it is a stretch)."""
 
     def units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_numpy()
             for start, end, words in slices(pc.fill_null(batch.column(1), "")):
-                first, stop = unit_bounds(words, unit_words)
+                first, stop = unit_bounds(words)
                 keep = stop - first >= least_words
                 first, stop = first[keep], stop[keep]
-                chars = code_points(words)
-                row = np.searchsorted(words.rows, first, "right") - 1
-                base = chars[words.offsets[row]]
                 found = stretches(words, size)
-                none = np.zeros(len(found), np.int32)
-                place = np.searchsorted(words.rows, found, "right") - 1
-                word = found - words.rows[place]
-                own = run_hashes(words.hashes, found, found + size)
-                columns = [
-                    (run_hashes(words.hashes, first, stop).view(np.int64), own.view(np.int64)),
-                    (ids[start:end][row], ids[start:end][place]),
-                    (np.arange(len(row)) - np.searchsorted(row, row), word),
-                    (first - words.rows[row], word),
-                    (chars[words.starts[first]] - base, none),
-                    (chars[words.ends[stop - 1]] - base, none),
-                    (stop - first, none + size),
-                    (np.zeros(len(row), bool), np.ones(len(found), bool)),
-                ]
+                digests = np.concatenate((run_hashes(words.hashes, first, stop), mix(run_hashes(words.hashes, found, found + size) ^ _STRETCH)))
+                at = np.concatenate((first, found))
+                row = np.searchsorted(words.rows, at, "right") - 1
+                kind = np.concatenate((stop - first << 1, np.full(len(found), size << 1 | 1, np.int64)))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(c).astype(t)) for c, t in zip(columns, ("i8", "i8", "i4", "i4", "i4", "i4", "i4", bool), strict=True)],
-                    names=["digest", "doc_id", "unit", "word", "start", "stop", "words", "stretch"],
+                    [pa.array(digests.view(np.int64)), pa.array(ids[start:end][row]), pa.array((at - words.rows[row] << 32) | kind)],
+                    names=["digest", "doc_id", "place"],
                 )
 
-    return doc_texts(docs).mapInArrow(units, "digest long, doc_id long, unit int, word int, start int, stop int, words int, stretch boolean")
+    return doc_texts(docs).where("doc_id IS NOT NULL").mapInArrow(units, "digest long, doc_id long, place long")
+
+
+def repeated_units(units: DataFrame) -> DataFrame:
+    """Occurrences that aren't the first of their digest: doc_id, low and high (words), stretch, first_doc_id and first_word."""
+    several = units.groupBy("digest").agg(F.min("doc_id").alias("first_doc_id"), F.count(F.lit(1)).alias("times")).where("times > 1")
+    found = cut(units.join(cut(several.drop("times")), "digest"))
+    firsts = cut(found.where("doc_id = first_doc_id").groupBy("digest").agg(F.min("place").alias("first_place")))
+    again = found.join(firsts, "digest").where("doc_id <> first_doc_id OR place <> first_place")
+    word = lambda c: F.shiftright(F.col(c), 32).cast("int")
+    return again.select(
+        "doc_id", word("place").alias("low"), (word("place") + F.expr("cast((place & 4294967295L) div 2 AS int)")).alias("high"),
+        F.expr("place & 1L = 1").alias("stretch"), "first_doc_id", word("first_place").alias("first_word"),
+    ).distinct()
+
+
+def with_islands(spans: DataFrame, gap: int = 0) -> DataFrame:
+    """Spans (doc_id, low, high) with the number of the island in their document: spans that overlap, touch or lie gap words apart."""
+    order = W.partitionBy("doc_id").orderBy("low", "high")
+    before = F.max("high").over(order.rowsBetween(W.unboundedPreceding, -1))
+    return spans.withColumn("island", F.sum(F.when(F.col("low") <= before + gap, 0).otherwise(1)).over(order.rowsBetween(W.unboundedPreceding, 0)))
+
+
+def runs_of(repeats: DataFrame, min_words: int, least_words: int, size: int) -> DataFrame:
+    """Runs: doc_id, low, high, first_doc_id, counted (words of repeated units; null for stretches), head and tail (of
+    stretches: the first and last one's first_doc_id and first_word). Runs of units that neither suffice nor are near a stretch are left out."""
+    units = with_islands(repeats.where("NOT stretch"), least_words - 1).groupBy("doc_id", "island").agg(
+        F.min("low").alias("low"), F.max("high").alias("high"), F.min("first_doc_id").alias("first_doc_id"), F.sum(F.col("high") - F.col("low")).alias("counted")
+    )
+    clear = repeats.where("stretch").where((F.col("doc_id") != F.col("first_doc_id")) | (F.col("low") >= F.col("first_word") + size))
+    edge = F.struct("low", "first_doc_id", "first_word")
+    stretched = with_islands(clear).groupBy("doc_id", "island").agg(
+        F.min("low").alias("low"), F.max("high").alias("high"), F.min("first_doc_id").alias("first_doc_id"), F.min(edge).alias("head"), F.max(edge).alias("tail")
+    )
+    both = units.drop("island").unionByName(stretched.drop("island"), allowMissingColumns=True)
+    near = with_islands(both, size - 1)
+    whole = W.partitionBy("doc_id", "island")
+    return near.withColumn("_use", (F.max("counted").over(whole) >= min_words) | F.bool_or(F.col("counted").isNull()).over(whole)).where("_use").drop("_use", "island")
 
 
 def words_beside(docs: DataFrame, ends: DataFrame, reach: int) -> DataFrame:
-    """Of each end (doc_id, word, ahead): the hashes of up to `reach` words from there on (ahead) or back, nearest first, and
-    code points: where a span ends that takes none, one, two ... of them (ahead), or begins."""
-    asked = ends.groupBy("doc_id").agg(F.collect_set(F.struct("word", "ahead")).alias("asked")).withColumnRenamed("doc_id", "asked_id")
-    texts = doc_texts(docs)
+    """Of each end (doc_id, word, ahead, far): the hashes of up to `reach` words (none unless far) from there on (ahead) or back,
+    nearest first, and code points: where a span ends that takes none, one, two ... of them (ahead), or begins."""
+    asked = cut(ends.groupBy(F.col("doc_id").alias("asked_id")).agg(F.collect_set(F.struct("word", "ahead", "far")).alias("asked")))
+    texts = maybe_among(doc_texts(docs).withColumn("__id", F.col("doc_id")), ["__id"], asked.select(F.col("asked_id").alias("__id")), "__among").where("__among")
     rows = texts.join(asked, texts["doc_id"] == asked["asked_id"]).select("doc_id", "text", "asked")
 
     def beside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,109 +157,71 @@ def words_beside(docs: DataFrame, ends: DataFrame, reach: int) -> DataFrame:
                     low, high = words.rows[i - start], words.rows[i - start + 1] if i - start + 1 < len(words.rows) else len(words.starts)
                     base = chars[words.offsets[i - start]]
                     for x in lists[i].as_py():
-                        w = low + x["word"]
-                        if not low <= w <= high:
+                        w, far = low + x["word"], reach * x["far"]
+                        if not low <= w <= high or low == high:
                             continue  # another row of this doc_id
                         if x["ahead"]:
-                            far = min(high, w + reach)
-                            near, at = hashes[w:far], chars[words.ends[max(w - 1, low) : far]] - base
+                            near = hashes[w : min(high, w + far)]
+                            at = chars[words.ends[max(w - 1, low) : min(high, w + far)]] - base
                         else:
-                            far = max(low, w - reach)
-                            near, at = hashes[far:w][::-1], chars[words.starts[far : w + 1][::-1]] - base
-                        out.append((ids[i], x["word"], x["ahead"], near.tolist(), at.tolist()))
+                            near = hashes[max(low, w - far) : w][::-1]
+                            at = chars[words.starts[max(low, w - far) : min(w, high - 1) + 1][::-1]] - base
+                        out.append((ids[i], x["word"], x["ahead"], x["far"], near.tolist(), at.tolist()))
                 if out:
+                    types = (pa.int64(), pa.int32(), pa.bool_(), pa.bool_(), pa.list_(pa.int64()), pa.list_(pa.int32()))
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.bool_(), pa.list_(pa.int64()), pa.list_(pa.int32())), strict=True)],
-                        names=["doc_id", "word", "ahead", "near", "at"],
+                        [pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=["doc_id", "word", "ahead", "far", "near", "at"]
                     )
 
-    found = rows.mapInArrow(beside, "doc_id long, word int, ahead boolean, near array<long>, at array<int>")
-    return found.groupBy("doc_id", "word", "ahead").agg(F.min(F.struct("near", "at")).alias("_x")).select("doc_id", "word", "ahead", "_x.*")
-
-
-def merged(spans: DataFrame, *more) -> DataFrame:
-    """Spans of a document (low, high: words) that touch or overlap, as islands; `more` are further aggregates."""
-    order = W.partitionBy("doc_id").orderBy("low", "high")
-    before = F.max("high").over(order.rowsBetween(W.unboundedPreceding, -1))
-    island = F.sum(F.when(F.col("low") <= before, 0).otherwise(1)).over(order.rowsBetween(W.unboundedPreceding, 0))
-    spans = spans.withColumn("island", island)
-    return spans.groupBy("doc_id", "island").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.min("first_doc_id").alias("first_doc_id"), *more)
+    found = rows.mapInArrow(beside, "doc_id long, word int, ahead boolean, far boolean, near array<long>, at array<int>")
+    return found.groupBy("doc_id", "word", "ahead", "far").agg(F.min(F.struct("near", "at")).alias("_x")).select("doc_id", "word", "ahead", "far", "_x.*")
 
 
-def stretch_runs(docs: DataFrame, repeats: DataFrame, size: int) -> DataFrame:
-    """Runs of repeated stretches, their ends moved outward along the kept occurrences: doc_id, low, high, start, stop, first_doc_id."""
-    clear = (F.col("doc_id") != F.col("first.doc_id")) | (F.col("word") >= F.col("first.unit") + size)
-    found = repeats.where("stretch").where(clear).select(
-        "doc_id", F.col("word").alias("low"), (F.col("word") + size).alias("high"), F.col("first.doc_id").alias("first_doc_id"), F.col("first.unit").alias("first_word")
-    ).distinct()
-    edge = F.struct("low", "first_doc_id", "first_word")
-    runs = cut(merged(found, F.min(edge).alias("head"), F.max(edge).alias("tail")))
-    ends = runs.select(
-        "doc_id", "island", F.explode(F.array(
-            F.struct(F.lit(False).alias("ahead"), F.col("low").alias("word"), F.col("head.first_doc_id").alias("kept_id"), F.col("head.first_word").alias("kept_word")),
-            F.struct(F.lit(True).alias("ahead"), F.col("high").alias("word"), F.col("tail.first_doc_id").alias("kept_id"), (F.col("tail.first_word") + size).alias("kept_word")),
-        )).alias("e"),
-    ).select("doc_id", "island", "e.*")
-    kept = ends.select(F.col("kept_id").alias("doc_id"), F.col("kept_word").alias("word"), "ahead")
-    beside = cut(words_beside(docs, ends.select("doc_id", "word", "ahead").unionByName(kept).distinct(), size - 1))
-    other = beside.select(F.col("doc_id").alias("kept_id"), F.col("word").alias("kept_word"), "ahead", F.col("near").alias("kept_near"))
-    both = ends.join(beside, ["doc_id", "word", "ahead"]).join(other, ["kept_id", "kept_word", "ahead"])
+def located(docs: DataFrame, runs: DataFrame, size: int) -> DataFrame:
+    """runs with low and high moved outward as far as the kept occurrence reads the same, and their offsets start and stop."""
+    runs = cut(runs.withColumn("run", F.monotonically_increasing_id()))
+    far = F.col("head").isNotNull()
+    end = lambda ahead, word, kept, more: F.struct(
+        F.lit(ahead).alias("ahead"), F.col(word).alias("word"), F.col(f"{kept}.first_doc_id").alias("kept_id"), (F.col(f"{kept}.first_word") + more).alias("kept_word")
+    )
+    ends = runs.select("doc_id", "run", far.alias("far"), F.explode(F.array(end(False, "low", "head", 0), end(True, "high", "tail", size))).alias("e"))
+    ends = ends.select("doc_id", "run", "far", "e.*")
+    kept = ends.where("far").select(F.col("kept_id").alias("doc_id"), F.col("kept_word").alias("word"), "ahead", "far")
+    beside = cut(words_beside(docs, ends.select("doc_id", "word", "ahead", "far").unionByName(kept).distinct(), size - 1))
+    other = beside.where("far").select(F.col("doc_id").alias("kept_id"), F.col("word").alias("kept_word"), "ahead", F.col("near").alias("kept_near"))
+    both = ends.join(beside, ["doc_id", "word", "ahead", "far"]).join(other, ["kept_id", "kept_word", "ahead"], "left")
     differs = F.array_position(F.zip_with("near", "kept_near", lambda a, b: a.eqNullSafe(b)), False)
-    more = F.when(differs > 0, differs - 1).otherwise(F.size("near")).cast("int")
-    moved = both.withColumn("more", more).withColumn("chars", F.get("at", F.col("more")))
+    same = F.when(F.col("kept_near").isNull(), 0).when(differs > 0, differs - 1).otherwise(F.size("near")).cast("int")
+    moved = both.withColumn("more", same).withColumn("chars", F.get("at", F.col("more")))
     at = lambda ahead, value: F.max(F.when(F.col("ahead") == ahead, F.col(value)))
-    sides = moved.groupBy("doc_id", "island").agg(
+    sides = moved.groupBy("run").agg(
         at(False, "more").alias("back"), at(True, "more").alias("on"), at(False, "chars").alias("start"), at(True, "chars").alias("stop")
     )
-    return runs.join(sides, ["doc_id", "island"]).select("doc_id", (F.col("low") - F.col("back")).alias("low"), (F.col("high") + F.col("on")).alias("high"), "start", "stop", "first_doc_id")
+    return runs.join(sides, "run").select(
+        "doc_id", (F.col("low") - F.col("back")).alias("low"), (F.col("high") + F.col("on")).alias("high"), "start", "stop", "first_doc_id", "counted"
+    )
 
 
-def repeated_spans(
-    docs: DataFrame, min_words: int = MIN_WORDS, unit_words: int = UNIT_WORDS, least_words: int = LEAST_WORDS
-) -> DataFrame:
+def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS, least_words: int = LEAST_WORDS) -> DataFrame:
     """doc_id, start, stop (code points of the text as it was), words and first_doc_id of every span to remove."""
     size = (min_words + 1) // 2
-    units = text_units(docs, unit_words, least_words, size)
-    place = F.struct("doc_id", "unit")
-    firsts = (
-        units.groupBy("digest", "stretch")
-        .agg(F.min(place).alias("first"), F.max(place).alias("last"))
-        .where("first <> last")
-        .select("digest", "stretch", "first")
-    )
-    repeats = units.join(firsts, ["digest", "stretch"]).where((F.col("doc_id") != F.col("first.doc_id")) | (F.col("unit") != F.col("first.unit")))
-    repeats = cut(repeats.drop("digest"))
-    by_doc = W.partitionBy("doc_id").orderBy("unit")
-    # Repeats of one row share doc_id and unit; they are the same place and stay together.
-    island = F.col("unit") - F.dense_rank().over(by_doc)
-    runs = (
-        repeats.where("NOT stretch")
-        .select("doc_id", "unit", "word", "start", "stop", "words", F.col("first.doc_id").alias("first_doc_id"))
-        .distinct()
-        .withColumn("island", island)
-        .groupBy("doc_id", "island")
-        .agg(
-            F.min("word").alias("low"), F.max(F.col("word") + F.col("words")).alias("high"),
-            F.min("start").alias("start"), F.max("stop").alias("stop"),
-            F.sum("words").alias("counted"), F.min("first_doc_id").alias("first_doc_id"),
-        )
-        .drop("island")
+    repeats = cut(repeated_units(text_units(docs, least_words, size)))
+    runs = located(docs, runs_of(repeats, min_words, least_words, size), size)
+    spans = with_islands(runs).groupBy("doc_id", "island").agg(
+        F.min("start").alias("start"), F.max("stop").alias("stop"), (F.max("high") - F.min("low")).cast("long").alias("words"),
+        F.min("first_doc_id").alias("first_doc_id"), F.max("counted").alias("counted"), F.bool_or(F.col("counted").isNull()).alias("matched"),
     )
-    both = runs.unionByName(stretch_runs(docs, repeats, size).withColumn("counted", F.lit(None).cast("long")))
-    spans = merged(
-        both, F.min("start").alias("start"), F.max("stop").alias("stop"), F.max("counted").alias("counted"), F.bool_or(F.col("counted").isNull()).alias("matched")
-    ).withColumn("words", (F.col("high") - F.col("low")).cast("long"))
     enough = (F.col("counted") >= min_words) | (F.col("matched") & (F.col("words") >= min_words))
     return spans.where(enough).select("doc_id", "start", "stop", "words", "first_doc_id")
 
 
 def without_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    """docs with the spans taken out of text, and removed (start, stop: offsets in the text as it was)."""
-    per_doc = spans.groupBy(F.col("doc_id").alias("span_doc_id")).agg(
-        F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("removed")
-    )
-    joined = docs.join(per_doc, docs["doc_id"] == per_doc["span_doc_id"], "left").drop("span_doc_id")
-    stops = F.concat(F.array(F.lit(0)), F.transform("removed", lambda s: s["stop"]))
-    begins = F.concat(F.transform("removed", lambda s: s["start"]), F.array(F.length("text")))
+    """docs with the spans taken out of text, and removed (start, stop: offsets in the text as it was; with underscores behind
+    its name where docs has such a column). Spans of a doc_id apply to each of its rows; a null text stays null."""
+    removed, key = fresh(docs, "removed"), fresh(docs, "span_doc_id")
+    per_doc = spans.groupBy(F.col("doc_id").alias(key)).agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias(removed))
+    joined = docs.join(per_doc, docs["doc_id"] == per_doc[key], "left").drop(key)
+    stops = F.concat(F.array(F.lit(0)), F.transform(removed, lambda s: s["stop"]))
+    begins = F.concat(F.transform(removed, lambda s: s["start"]), F.array(F.length("text")))
     parts = F.zip_with(stops, begins, lambda a, b: F.substring("text", a + 1, b - a))
-    return joined.withColumn("text", F.when(F.col("removed").isNull(), F.col("text")).otherwise(F.array_join(parts, "")))
+    return joined.withColumn("text", F.when(F.col(removed).isNull() | F.col("text").isNull(), F.col("text")).otherwise(F.array_join(parts, "")))

@@ -132,8 +132,7 @@ class PieceCodec:
             same = [a == b for a, b in zip(found, self.library.encode(texts), strict=True)] if self.library else [True] * len(texts)
             return [np.array(ids, np.int32).tobytes() for ids in found], same
         parts = [stretches(text) for text in texts]
-        self.cache.learn(parts)
-        known = self.cache.__getitem__
+        known = self.cache.learn(parts)
         same = [self.differ.isdisjoint(part) for part in parts] if self.differ else [True] * len(parts)
         return [b"".join(map(known, part)) for part in parts], same
 

@@ -16,8 +16,8 @@ import numpy as np
 
 MARK = "▁"
 STRETCH = re.compile(r"\n[^ \n]*| +[^ \n]*")
-#: Bytes of text handled at once, and characters that the cache of stretches may hold.
-SLICE_BYTES, CACHE_CHARS = 2 << 20, 16 << 20
+#: Bytes of text handled at once; memory that the cache of stretches may take, and what an entry costs besides its characters.
+SLICE_BYTES, CACHE_BYTES, ENTRY_BYTES = 1 << 20, 32 << 20, 240
 #: A stretch without spaces longer than this is not kept.
 LONGEST_KEPT = 64
 
@@ -122,24 +122,26 @@ def stretch_ends(sizes: np.ndarray, ids: np.ndarray, run: list[str]) -> np.ndarr
     return at + 1
 
 
-class StretchCache(dict):
-    """What a function gives for stretches; forgets everything when it has grown to its bound."""
+class StretchCache:
+    """What a function gives for stretches. Two generations: when the newer has half of the memory bound, the older is forgotten."""
 
     def __init__(self, encode: Callable[[list[str]], Iterable]):
-        super().__init__()
-        self.encode, self.chars, self.once = encode, 0, {}
-
-    def learn(self, lists: list[list[str]]) -> None:
-        """Make every stretch of the lists present until the next call."""
-        if self.chars > CACHE_CHARS:
-            self.clear()
-            self.chars = 0
+        self.encode, self.now, self.old, self.size, self.once = encode, {}, {}, 0, []
+
+    def learn(self, lists: list[list[str]]) -> Callable[[str], object]:
+        """What finds any stretch of the lists, until the next call."""
         for stretch in self.once:
-            self.pop(stretch, None)
-        missing = list(set().union(*lists).difference(self))
-        self.update(zip(missing, self.encode(missing), strict=True))
+            self.now.pop(stretch, None)
+        if self.size > CACHE_BYTES // 2:
+            self.now, self.old, self.size = {}, self.now, 0
+        wanted = set().union(*lists).difference(self.now)
+        known = wanted.intersection(self.old) if self.old else set()
+        self.now.update((x, self.old[x]) for x in known)
+        missing = list(wanted - known)
+        self.now.update(zip(missing, self.encode(missing), strict=True))
         self.once = [x for x in missing if len(x) > LONGEST_KEPT]
-        self.chars += sum(map(len, missing)) + 24 * len(missing)
+        self.size += 2 * sum(map(len, wanted)) + ENTRY_BYTES * len(wanted)
+        return self.now.__getitem__
 
 
 def byte_slices(sizes: list[int], limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
