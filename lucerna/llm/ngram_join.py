@@ -26,8 +26,8 @@ Every pair that could link is either compared or already connected, so no link b
 
 Defined results: a document without words, or null, has size 0 and is its own component; with one to four
 words its whole sequence is its only shingle; repeated rows stay one row each; rows that share a doc_id but not
-the text get their own text's size and component, and their components are one if that doc_id stands for both; an empty table gives an empty
-result; columns other than doc_id and text are not read.
+the text get each their own text's size and component; a null doc_id comes after all others (a component of such rows alone has a null
+component_id); an empty table gives an empty result; columns other than doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -35,12 +35,13 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, cut, doc_texts
+from .common import connected_components, cut, doc_texts, maybe_among, without_rows
 from .words import mix, shingle_hashes, slices
 
 SIZE, PERCENT = 5, 75
@@ -52,8 +53,6 @@ SHARE, LEAST_REPORT, LEAST_COMMON = 1e-5, 3, 200
 TILE = 1 << 20
 #: Members of a block that one task searches.
 BLOCK = 4096
-#: Bits of the map of documents whose texts are needed.
-BITMAP = 1 << 22
 LEAF, FANOUT, WIDEST = 32, 8, 4096
 #: Ratio of the sizes at the ends of a bucket of sizes.
 STEP = 1.1
@@ -191,11 +190,11 @@ def document_sets(docs: DataFrame, size: int) -> DataFrame:
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).to_numpy()
+            ids = batch.column(0).to_pylist()
             for start, sets in distinct_per_row(batch.column(1), size):
                 digests = [digest_of(s) for s in sets]
                 rows = [
-                    ids[start : start + len(sets)].tolist(), [len(s) for s in sets], [d[0] for d in digests], [d[1] for d in digests],
+                    ids[start : start + len(sets)], [len(s) for s in sets], [d[0] for d in digests], [d[1] for d in digests],
                     [packed(s) for s in sets],
                 ]
                 every = np.sort(np.concatenate(sets)) if sets else np.zeros(0, np.uint64)
@@ -346,13 +345,13 @@ def verified_edges(members: DataFrame, size: int, percent: int) -> DataFrame:
             rows = rows.combine_chunks()
             texts = rows.column(6).chunk(0)
             sets = [s for _, part in distinct_per_row(texts, size) for s in part]
-            # A doc_id that has several texts stands for the one with the class's digest; repeats are one.
+            # A doc_id that has several texts brings them all; the one with the class's digest counts, repeats are one.
             node = rows.column(2).to_pylist()
             at = list({d: i for i, (s, d) in enumerate(zip(sets, node, strict=True)) if len(s) and digest_of(s)[0] == d}.values())
             if len(at) < 2:
                 continue
             rows, sets = rows.take(pa.array(at)), [sets[i] for i in at]
-            ids = rows.column(1).to_pylist()
+            ids = rows.column(2).to_pylist()
             sizes = np.array([len(s) for s in sets], np.int64)
             groups = width(sizes.mean())
             points = np.vstack([counts_of(s, groups) for s in sets])
@@ -373,7 +372,7 @@ def verified_edges(members: DataFrame, size: int, percent: int) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id and class_id (smallest doc_id with an equal set) for every row of docs."""
+    """doc_id, n_shingles, component_id, class_id (smallest doc_id with an equal set) and digest of the set, for every row of docs."""
     read = cut(document_sets(docs, size))
     sets = read.where("n >= 0")
     reports = read.where("n = -1")
@@ -411,34 +410,51 @@ def near_duplicates(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -
     texts = docs.select(F.col("doc_id").cast("long").alias("text_id"), F.col("text").alias("text"))
 
     def with_texts(rows: DataFrame) -> DataFrame:
-        # Texts of other documents are told apart by a bitmap before the exchange; its size is fixed.
-        bit = lambda c: f"pmod(xxhash64({c}), {BITMAP})"
-        mask = lambda c: F.expr(f"shiftleft(1L, cast({bit(c)} % 62 AS int))")
-        word = lambda c: F.expr(f"{bit(c)} div 62")
-        bits = rows.select(word("doc_id").alias("word"), mask("doc_id").alias("mask")).groupBy("word").agg(F.bit_or("mask").alias("bits"))
-        marked = texts.select("*", word("text_id").alias("word"), mask("text_id").alias("_bit"))
-        some = marked.join(F.broadcast(bits), "word").where(F.col("bits").bitwiseAND(F.col("_bit")) != 0).select("text_id", "text")
-        return rows.join(some, rows["doc_id"] == some["text_id"]).drop("text_id")
+        # Texts of other documents are told apart by a bitmap before the exchange.
+        wanted = cut(rows.select(F.col("doc_id").alias("text_id")).distinct())
+        some = maybe_among(texts, ["text_id"], wanted, "__among").where("__among").select("text_id", "text")
+        return rows.join(some, rows["doc_id"].eqNullSafe(some["text_id"])).drop("text_id")
 
     inside = members.select(
-        F.xxhash64("component", "slot").alias("tile"), "doc_id", "d1", F.col("doc_id").alias("label"), F.lit(True).alias("asks"), F.lit(True).alias("home")
+        F.xxhash64("component", "slot").alias("tile"), "doc_id", "d1", F.col("d1").alias("label"), F.lit(True).alias("asks"), F.lit(True).alias("home")
     )
     edges = cut(verified_edges(with_texts(inside), size, percent))
     large = members.where("slot > 0")
     if large.limit(1).count():
         edges = edges.union(cut(across_tiles(large, edges, with_texts, size, percent)))
-    found = connected_components(edges)
-    class_rows = classes.join(found, classes["class_id"] == found["node"], "left").select(
+    found = cut(connected_components(edges))
+    linked = found.join(classes, found["node"] == classes["d1"])
+    lowest = linked.groupBy(F.col("component").alias("of")).agg(F.min("class_id").alias("component_id"))
+    named = found.join(lowest, found["component"] == lowest["of"]).select("node", "component_id")
+    class_rows = classes.join(named, classes["d1"] == named["node"], "left").select(
         F.col("d1").alias("c1"), F.col("d2").alias("c2"), F.col("n").alias("cn"), "class_id",
-        F.coalesce("component", "class_id").alias("component_id"),
+        F.coalesce("component_id", "class_id").alias("component_id"),
     )
     same_set = (sets["d1"] == class_rows["c1"]) & (sets["d2"] == class_rows["c2"]) & (sets["n"] == class_rows["cn"])
     return sets.join(class_rows, same_set, "left").select(
         "doc_id", F.col("n").alias("n_shingles"),
         F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("class_id", "doc_id").alias("class_id"),
+        F.col("d1").alias("digest"),
     )
 
 
+def keep_first_of_near(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
+    """The rows of docs, all columns, without those whose component has a smaller doc_id.
+
+    Decided for each row by its own text: rows that share a doc_id may differ. Rows without a doc_id go where their
+    component has a row with one.
+    """
+
+    @F.pandas_udf("long")
+    def digests(texts):
+        arrow = pa.array(texts, pa.string())
+        return pd.Series([digest_of(s)[0] for _, sets in distinct_per_row(arrow, size) for s in sets], dtype="int64")
+
+    later = near_duplicates(docs, size, percent).where("component_id IS NOT NULL AND NOT (doc_id <=> component_id)")
+    dropped = cut(later.select("doc_id", F.col("digest").alias("key")))
+    return without_rows(docs, dropped, lambda df, name: df.withColumn(name, digests(F.coalesce("text", F.lit("")))))
+
+
 def across_tiles(members: DataFrame, edges: DataFrame, with_texts, size: int, percent: int) -> DataFrame:
     """Edges between tiles of one candidate component.
 
@@ -446,8 +462,8 @@ def across_tiles(members: DataFrame, edges: DataFrame, with_texts, size: int, pe
     whose sizes fit theirs and are compared there with what they aren't connected to.
     """
     done = connected_components(edges).withColumnRenamed("component", "label")
-    labelled = members.join(done, members["doc_id"] == done["node"], "left").select(
-        "component", "doc_id", "d1", "slot", "bucket", F.coalesce("label", "doc_id").alias("label")
+    labelled = members.join(done, members["d1"] == done["node"], "left").select(
+        "component", "doc_id", "d1", "slot", "bucket", F.coalesce("label", "d1").alias("label")
     )
     labelled = cut(labelled)
     counts = labelled.groupBy("component", "label").agg(F.count(F.lit(1)).alias("size"))
