@@ -2,17 +2,20 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents,
 every row as it was. The caller writes each result and gives it to the next stage.
+
+Defined results, for every stage: a null text counts as empty; each row is decided by its own text, also where rows share a
+doc_id; a row without a doc_id comes after all others of its group; ties and repeated rows share their fate; further columns
+are carried along; an empty table gives an empty result. An empty text is scored like any other.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from lucerna.llm.common import table
 from lucerna.llm.decontaminate import keep_uncontaminated
 from lucerna.llm.exact_dedup import keep_first
-from lucerna.llm.ngram_join import near_duplicates
+from lucerna.llm.ngram_join import keep_first_of_near
 from lucerna.llm.piece_codec import encode_documents
 from lucerna.llm.quality import keep_quality
 from lucerna.llm.queries import model_path
@@ -30,8 +33,7 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of the n-gram Jaccard join, the smallest doc_id stays."""
-    dropped = near_duplicates(docs).where("component_id <> doc_id").select(F.col("doc_id").alias("dropped_id")).distinct()
-    return docs.join(dropped, docs["doc_id"] == dropped["dropped_id"], "left_anti")
+    return keep_first_of_near(docs)
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,7 +54,7 @@ STAGES = [
     ("encoding", encoding),
 ]
 
-#: A trained classifier and a tokenizer are no SQL; tests hold run() against a plain version.
+#: A trained classifier and a tokenizer are no SQL; tests/llm/test_pipeline.py holds run() against plain versions.
 ORACLE_SQL = None
 
 
