@@ -385,12 +385,8 @@ def src12_malware(spark, d):
 
 @query()
 def src05_html_text(spark, d):
-    """General HTML, by the parser."""
-    @F.pandas_udf("string")
-    def parse(html):
-        return html.map(lambda h: None if h is None else files.html_text(h))
-
-    return table(spark, d, "pages").select("page_id", n.text_hash(parse("html")).alias("digest"))
+    """General HTML, entities and all."""
+    return table(spark, d, "pages").select("page_id", n.text_hash(files.html_columns(F.col("html"), entities=True)).alias("digest"))
 
 
 SQL_HTML = (

@@ -1,19 +1,18 @@
 """File sources: content checks as column predicates, parsers for each format.
 
-files: path STRING, content BINARY (what Spark's binaryFile gives). Text, CSV and simple HTML are columns; JSON
-layout, general HTML and DOCX go through Arrow UDFs over a row's own content. PDF and OCR need engines that
+files: path STRING, content BINARY (what Spark's binaryFile gives). Text and HTML are columns, and
+so is the layout of CSV rows; reading CSV cells, HTML entities, JSON layout and DOCX go through Arrow UDFs over a row's own content. PDF and OCR need engines that
 a caller registers.
 """
 
 from __future__ import annotations
 
 import csv
+import html
 import io
 import json
-import re
 import zipfile
 from collections.abc import Callable
-from html.parser import HTMLParser
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -25,9 +24,9 @@ from ..functions.text import strip
 
 # First bytes by extension, and how far a format may expand.
 MAGIC = {
-    ".pdf": ["25504446"], ".docx": ["504B0304", "504B0506", "504B0708"], ".zip": ["504B0304", "504B0506", "504B0708"],
-    ".png": ["89504E470D0A1A0A"], ".jpg": ["FFD8FF"], ".jpeg": ["FFD8FF"], ".gif": ["474946383761", "474946383961"], ".bmp": ["424D"],
-    ".tiff": ["49492A00", "4D4D002A"],
+    ".pdf": [b"%PDF"], ".docx": [b"PK\x03\x04", b"PK\x05\x06", b"PK\x07\x08"], ".zip": [b"PK\x03\x04", b"PK\x05\x06", b"PK\x07\x08"],
+    ".png": [b"\x89PNG\r\n\x1a\n"], ".jpg": [b"\xff\xd8\xff"], ".jpeg": [b"\xff\xd8\xff"], ".gif": [b"GIF87a", b"GIF89a"], ".bmp": [b"BM"],
+    ".tiff": [b"II*\x00", b"MM\x00*"],
 }
 MAX_RATIO = {".pdf": 50, ".docx": 100, ".zip": 100, ".png": 10, ".jpg": 10, ".jpeg": 10, ".gif": 10, ".bmp": 2, ".tiff": 10}
 DEFAULT_RATIO, MAX_DECOMPRESSED, MAX_PDF_PAGES, MAX_UPLOAD = 100, 256 << 20, 500, 20 << 20
@@ -55,12 +54,11 @@ def extension(path: Column) -> Column:
 
 def magic_ok(ext: Column, content: Column) -> Column:
     """SRC-10: whether the first bytes fit; extensions without a signature pass."""
-    head = F.hex(F.substring(content, 1, 8))
     out = F.lit(True)
     for name, marks in MAGIC.items():
         hit = F.lit(False)
         for mark in marks:
-            hit = hit | head.startswith(mark)
+            hit = hit | (F.substring(content, 1, len(mark)) == F.lit(mark))
         out = F.when(ext == name, hit).otherwise(out)
     return out
 
@@ -87,25 +85,39 @@ def plain_text(content: Column) -> Column:
     return strip(decoded(content))
 
 
-def csv_text(content: bytes | None) -> str:
-    """SRC-03: a line a row, `Header: value` joined by bars."""
-    rows = list(csv.reader(io.StringIO(_text(content))))
-    if not rows:
-        return ""
-    header = [h.strip() for h in rows[0]]
-    names = lambda i: header[i] if i < len(header) else f"Col{i + 1}"
-    lines = [" | ".join(f"{names(i)}: {v.strip()}" for i, v in enumerate(r)) for r in rows[1:] if any(v.strip() for v in r)]
-    return ("\n".join(lines) if lines else " | ".join(header)).strip()
+def csv_cells(text: Column) -> Column:
+    """Struct of cells (array of a row's values, an entry a row) and error of a CSV's text."""
+
+    @F.pandas_udf("struct<cells:array<array<string>>,error:string>")
+    def read(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([_tried(lambda t: list(csv.reader(io.StringIO(t))), t or "") for t in texts], columns=["cells", "error"])
+
+    return read(text)
+
+
+def _said(row: Column, names: Column, bare: Callable[[Column], Column]) -> Column:
+    """A row's values behind their names; columns without one count from 1."""
+    name = lambda i: F.coalesce(F.get(names, i), F.concat(F.lit("Col"), (i + 1).cast("string")))
+    return F.array_join(F.transform(row, lambda v, i: F.concat(name(i), F.lit(": "), bare(F.coalesce(v, F.lit(""))))), " | ")
+
+
+def _holds_values(row: Column, bare: Callable[[Column], Column]) -> Column:
+    return F.exists(row, lambda v: bare(F.coalesce(v, F.lit(""))) != "")
+
+
+def csv_document(cells: Column) -> Column:
+    """SRC-03: the text of a whole CSV, from a column of its table (csv_cells itself can't stand inside). No rows: empty; a header alone: its names; rows without values are left out."""
+    names = F.transform(F.get(cells, F.lit(0)), strip)
+    body = F.filter(F.slice(cells, F.lit(2), F.size(cells)), lambda row: _holds_values(row, strip))
+    lines = F.transform(body, lambda row: _said(row, names, strip))
+    return strip(F.when(cells.isNull(), None).when(F.size(cells) < 1, "").when(F.size(lines) < 1, F.array_join(names, " | ")).otherwise(F.array_join(lines, "\n")))
 
 
 def csv_lines(rows: DataFrame, header: list[str]) -> DataFrame:
     """SRC-03 at scale: rows (array `values`, `position`) of a CSV that Spark reads, as text lines."""
     names = F.array(*[F.lit(h.strip()) for h in header])
-    said = F.transform(
-        "values",
-        lambda v, i: F.concat(F.coalesce(F.get(names, i), F.concat(F.lit("Col"), (i + 1).cast("string"))), F.lit(": "), F.trim(F.coalesce(v, F.lit("")))),
-    )
-    return rows.where(F.exists("values", lambda v: F.trim(F.coalesce(v, F.lit(""))) != "")).select("position", F.array_join(said, " | ").alias("line"))
+    full = rows.where(_holds_values(F.col("values"), F.trim))
+    return full.select("position", _said(F.col("values"), names, F.trim).alias("line"))
 
 
 def json_text(content: bytes | None) -> str:
@@ -114,42 +126,25 @@ def json_text(content: bytes | None) -> str:
     return json.dumps(json.loads(text), indent=2, ensure_ascii=False).strip() if text.strip() else ""
 
 
-class _Words(HTMLParser):
-    breaks = frozenset("p br div h1 h2 h3 h4 li tr".split())
-
-    def __init__(self):
-        super().__init__()
-        self.found: list[str] = []
-        self.hidden: set[str] = set()
+def html_columns(page: Column, entities: bool = False) -> Column:
+    """SRC-05: hidden parts out, a line break for each block's start, then text nodes with one space between.
 
-    def handle_starttag(self, tag, attrs):
-        if tag in ("script", "style"):
-            self.hidden.add(tag)
-        elif tag in self.breaks:
-            self.found.append("\n")
-
-    def handle_endtag(self, tag):
-        self.hidden.discard(tag)
-
-    def handle_data(self, data):
-        if data.strip() and not self.hidden:
-            self.found.append(data.strip())
-
-
-def html_text(content: bytes | str | None) -> str:
-    """SRC-05: text nodes, a line break before each block."""
-    parser = _Words()
-    parser.feed(content if isinstance(content, str) else _text(content))
-    return re.sub(r"\n\s*\n+", "\n\n", " ".join(parser.found)).strip()
+    A hidden part without an end runs to the page's end; a less-than sign that no letter follows is text. All in the JVM,
+    but for entities: these need `entities`, which sends what holds an ampersand through a small Arrow UDF. A null page is null.
+    """
+    seen = F.regexp_replace(page, r"(?is)<(script|style)\b[^>]*>.*?(?:</\1\s*>|\z)", "\u0001")
+    seen = F.regexp_replace(seen, r"(?s)<!--.*?-->|<![^>]*>|<\?[^>]*>", "\u0001")
+    seen = F.regexp_replace(seen, r"(?i)<(?:p|br|div|h1|h2|h3|h4|li|tr)(?=[\s/>])[^>]*>", "\u0001\u0002\u0001")
+    seen = F.regexp_replace(seen, r"</?[A-Za-z][^>]*>", "\u0001")
+    if entities:
 
+        @F.pandas_udf("string")
+        def decode(texts: pd.Series) -> pd.Series:
+            return texts.map(lambda t: html.unescape(t) if t and "&" in t else t)
 
-def html_columns(html: Column) -> Column:
-    """SRC-05 for well-formed pages without entities, in the JVM: hidden parts out, then text nodes and breaks."""
-    seen = F.regexp_replace(html, r"(?is)<(script|style)\b[^>]*>.*?</\1\s*>", "\u0001")
-    seen = F.regexp_replace(seen, r"(?s)<!--.*?-->|<![^>]*>", "\u0001")
-    seen = F.regexp_replace(seen, r"(?i)<(?:p|br|div|h1|h2|h3|h4|li|tr)(?=[\s/>])[^>]*>", "\u0001\u0002\u0001")
-    seen = F.regexp_replace(seen, r"<[^>]*>", "\u0001")
-    nodes = F.filter(F.transform(F.split(seen, "\u0001"), strip), lambda x: x != "")
+        seen = decode(seen)
+    bare = lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", "")
+    nodes = F.filter(F.transform(F.split(seen, "\u0001"), bare if entities else strip), lambda x: x != "")
     return strip(F.regexp_replace(F.replace(F.array_join(nodes, " "), F.lit("\u0002"), F.lit("\n")), r"\n\s*\n+", "\n\n"))
 
 
@@ -176,6 +171,14 @@ def _text(content: bytes | None) -> str:
         return content.decode("latin-1")
 
 
+def _tried(parse: Callable, value) -> tuple:
+    """(result, None), or (None, what went wrong): a broken file is a row's result, not the job's end."""
+    try:
+        return parse(value), None
+    except Exception as error:
+        return None, str(error) or type(error).__name__
+
+
 def _missing(name: str) -> Parser:
     def parse(content: bytes) -> str:
         raise NotImplementedError(f"no {name} engine is registered; see register_parser")
@@ -183,7 +186,7 @@ def _missing(name: str) -> Parser:
     return parse
 
 
-PARSERS: dict[str, Parser] = {".csv": csv_text, ".json": json_text, ".html": html_text, ".htm": html_text, ".docx": docx_text, ".pdf": _missing("PDF")}
+PARSERS: dict[str, Parser] = {".json": json_text, ".docx": docx_text, ".pdf": _missing("PDF")}
 
 
 def register_parser(ext: str, parser: Parser) -> None:
@@ -199,13 +202,7 @@ def parse_files(files: DataFrame) -> DataFrame:
 
     @F.pandas_udf("struct<text:string,error:string>")
     def parse(ext: pd.Series, content: pd.Series) -> pd.DataFrame:
-        out = []
-        for e, c in zip(ext, content, strict=True):
-            try:
-                out.append((PARSERS[e](c), None))
-            except Exception as error:  # a broken file is a row's result, not the job's end
-                out.append((None, str(error) or type(error).__name__))
-        return pd.DataFrame(out, columns=["text", "error"])
+        return pd.DataFrame([_tried(PARSERS[e], c) for e, c in zip(ext, content, strict=True)], columns=["text", "error"])
 
     rows = files.withColumn("ext", extension(F.col("path")))
     status = (
@@ -213,12 +210,15 @@ def parse_files(files: DataFrame) -> DataFrame:
         .when(has_test_string(F.col("content")), "malware").when(~magic_ok(F.col("ext"), F.col("content")), "bad_signature").otherwise("ok")
     )
     rows = rows.withColumn("status", status)
-    is_text = (F.col("status") == "ok") & F.col("ext").isin(TEXT_EXTENSIONS)
-    in_python = (F.col("status") == "ok") & ~F.col("ext").isin(TEXT_EXTENSIONS)
-    text = rows.where(is_text).select("path", "ext", "status", plain_text(F.col("content")).alias("text"))
-    other = rows.where(in_python).withColumn("_p", parse("ext", "content")).select(
-        "path", "ext", F.when(F.col("_p.error").isNull(), "ok").otherwise(F.concat(F.lit("failed: "), F.col("_p.error"))).alias("status"), F.col("_p.text").alias("text")
-    )
+    good = rows.where("status = 'ok'")
+    own = list(PARSERS)
+    plain, table, page = (F.col("ext").isin(x) & ~F.col("ext").isin(own) for x in (TEXT_EXTENSIONS, [".csv"], [".html", ".htm"]))
+    said = decoded(F.col("content"))
+    column = lambda which, text: good.where(which).select("path", "ext", "status", text.alias("text"))
+    outcome = lambda error: F.when(error.isNull(), "ok").otherwise(F.concat(F.lit("failed: "), error)).alias("status")
+    tables = good.where(table).withColumn("_p", csv_cells(said)).select("path", "ext", outcome(F.col("_p.error")), csv_document(F.col("_p.cells")).alias("text"))
+    other = good.where(F.col("ext").isin(own)).withColumn("_p", parse("ext", "content")).select("path", "ext", outcome(F.col("_p.error")), F.col("_p.text").alias("text"))
+    text = column(plain, strip(said)).unionByName(column(page, html_columns(said, entities=True))).unionByName(tables)
     refused = rows.where("status <> 'ok'").select("path", "ext", "status", F.lit(None).cast("string").alias("text"))
     whole = text.unionByName(other).unionByName(refused)
     dated = whole.select("*", n.effective_date(F.col("text"), "from").alias("effective_from"), n.effective_date(F.col("text"), "until").alias("effective_until"))
