@@ -403,9 +403,10 @@ def win02_latest_round(spark, d):
 def ver02_claims(spark, d):
     """Claims of the assistant's turns, judged against the user's turns of the same conversation."""
     rows = table(spark, d, "conversations")
-    answers = rows.where("role = 'assistant'").select(F.concat_ws("/", "conv_id", "turn").alias("query_id"), F.col("text").alias("answer"))
-    served = rows.where("role = 'user'").select(F.concat(F.col("conv_id").cast("string"), F.lit("/1")).alias("query_id"), (F.col("turn") + 1).alias("segment"), "text")
-    return e.judge(e.decompose(answers), served).select("query_id", "claim_no", n.text_hash(F.col("claim")).alias("digest"), "state")
+    answers = rows.where("role = 'assistant'").select(F.concat_ws("/", "conv_id", "turn").alias("query_id"), F.col("text").alias("answer"), "conv_id")
+    said = rows.where("role = 'user'").select("conv_id", (F.col("turn") + 1).alias("segment"), "text")
+    served = answers.select("query_id", "conv_id").join(said, "conv_id").select("query_id", "segment", "text")
+    return e.judge(e.decompose(answers.drop("conv_id")), served).select("query_id", "claim_no", n.text_hash(F.col("claim")).alias("digest"), "state")
 
 
 # ---- evaluation ----

@@ -56,9 +56,9 @@ def stopwords(is_query: bool = False) -> list[str]:
 def tokens(normalized: Column, is_query: bool = False) -> Column:
     """STR-02 without stemming: words of normalised text, less stop words and single letters."""
     # Stop words that hold an apostrophe never equal a token, so the list that travels is short.
-    stop = F.array(*[F.lit(x) for x in stopwords(is_query) if "'" not in x])
+    stop = [x for x in stopwords(is_query) if "'" not in x]
     found = F.regexp_extract_all(normalized, F.lit(TOKEN), F.lit(0))
-    return F.filter(found, lambda t: ~F.array_contains(stop, t) & ((F.length(t) > 1) | t.rlike("^[0-9]$")))
+    return F.filter(found, lambda t: ~t.isin(stop) & ((F.length(t) > 1) | t.rlike("^[0-9]$")))
 
 
 def ngrams(items: Column, n: int = 2) -> Column:

@@ -179,7 +179,7 @@ def verdict(supported: Column, contradicted: Column, total: Column, answer: Colu
     share = lambda x: F.when(total > 0, x / total).otherwise(0.0)
     coverage, contra = share(supported), share(contradicted)
     score = F.when(total > 0, n.reliability(coverage, contra)).otherwise(0.0)
-    abstains = F.coalesce(t.strip(answer) == "ABSTAIN", F.lit(False))
+    abstains = F.coalesce(answer == "ABSTAIN", F.lit(False))
     passes = F.when(total == 0, abstains).otherwise((coverage >= d.coverage_min) & (contra <= d.contradiction_max))
     status = (
         F.when(abstains, "ABSTAINED").when(total == 0, "FAILED").when(passes, "TRUSTED")

@@ -174,6 +174,30 @@ def test_files(spark):
     assert got["h.json"].status.startswith("failed") and got["i.md"].effective_from is None and got["i.md"].effective_until is not None
 
 
+@pytest.mark.parametrize(
+    "page,said",
+    [("<h1>A &amp; B</h1>a &lt;b&gt; c", "A & B a <b> c"), ("x<script>if (a < b) {}", "x"), ("1 < 2 <b>y</b>", "1 < 2 y"), ("<p>\u00a0&nbsp;</p>z", "z"), ("<style>p{}</style><!-- <p> -->q", "q"), ("", ""), (None, None)],
+)
+def test_html(spark, page, said):
+    assert value(spark, files.html_columns(F.lit(page).cast("string"), entities=True)) == said
+
+
+def test_csv(spark):
+    rows = [(0, ""), (1, "A, B\n"), (2, 'A\n"x\ny"\n\n , \n'), (3, None), (4, "\n1,2"), (5, "A,A\r\n1,\r\n")]
+    got = {r.k: r.v for r in spark.createDataFrame(rows, "k int, t string").withColumn("c", files.csv_cells(F.col("t"))).select("k", files.csv_document(F.col("c.cells")).alias("v")).collect()}
+    assert got == {0: "", 1: "A | B", 2: "A: x\ny", 3: "", 4: "Col1: 1 | Col2: 2", 5: "A: 1 | A:"}
+
+
+@pytest.mark.parametrize("ext,head,ok", [(".pdf", b"%PDF-1.7", True), (".pdf", b"%PD", False), (".png", b"\x89PNG\r\n\x1a\nrest", True), (".docx", b"PK\x05\x06", True), (".gif", b"GIF88a", False), (".txt", b"", True)])
+def test_signatures(spark, ext, head, ok):
+    assert value(spark, files.magic_ok(F.lit(ext), F.lit(head))) is ok
+
+
+def test_abstaining_is_one_exact_word(spark):
+    status = lambda said: value(spark, e.verdict(F.lit(0), F.lit(0), F.lit(0), F.lit(said).cast("string"))).status
+    assert [status(x) for x in ("ABSTAIN", " ABSTAIN ", "", None)] == ["ABSTAINED", "FAILED", "FAILED", "FAILED"]
+
+
 @pytest.mark.parametrize("url,ok", [("https://a.example/x", True), ("http://localhost/", False), ("ftp://a.example", False), ("http://192.168.1.2/", False), ("https://x.internal", False), ("http://[::1]/", False), (None, False)])
 def test_urls(spark, url, ok):
     assert (value(spark, urls.sanitize_url(F.lit(url).cast("string"))) != "") is ok
