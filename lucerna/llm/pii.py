@@ -123,6 +123,8 @@ MOST_ROUNDS, SETTLED, DAMPING = 100, 1e-6, 0.5
 #: Characters of a token's shape that are a feature, and characters of a token that are looked at for it.
 SHAPE_CHARS, TOKEN_CHARS = 24, 256
 PASSAGES, PASSAGE_CHARS = 20, 400
+#: Rows that training looks at for each one that it takes.
+SPARE = 8
 TOKEN = re.compile(r"[^\x20\x09-\x0D]+")
 CANDIDATE = re.compile(r"[0-9@]|[(\[_]at[)\]_]", re.IGNORECASE)
 
@@ -379,16 +381,23 @@ def passages_near(text: str) -> str:
 
 
 def training_texts(docs: DataFrame, max_train_docs: int) -> list[tuple[int, str]]:
-    """Passages of at most max_train_docs documents with digits or at signs, those with the least hashes of doc_id (and text):
-    the same ones at each run. Each task keeps its own least ones first, so that little leaves it."""
-    some = doc_texts(docs).where(F.col("text").rlike(r"[0-9]{2}|@")).select("doc_id", F.xxhash64("doc_id", "text").alias("rank"), "text")
+    """Passages of at most max_train_docs documents with digits or at signs, those with the least hashes of doc_id and text:
+    the same ones at each run. Only a share of all rows by that hash is looked at, raised until it holds enough, so what
+    reaches the driver is bounded by SPARE * max_train_docs rows or so, not by the table or the number of tasks."""
 
     @F.pandas_udf("string")
     def near(texts):
         return texts.map(passages_near)
 
-    least = some.select("rank", "doc_id", near("text").alias("text")).orderBy("rank").limit(max_train_docs)
-    return [(r.doc_id or 0, r.text) for r in least.collect()]
+    ranked = doc_texts(docs).withColumn("rank", F.xxhash64("doc_id", "text"))
+    share = SPARE * max_train_docs / max(1, docs.count())
+    while True:
+        some = ranked if share >= 1 else ranked.where(F.col("rank") < F.lit(int(share * (1 << 64)) - (1 << 63)))
+        least = some.where(F.col("text").rlike(r"[0-9]{2}|@")).select("rank", "doc_id", near("text").alias("text")).orderBy("rank").limit(max_train_docs)
+        found = least.collect()
+        if len(found) == max_train_docs or share >= 1:
+            return [(r.doc_id or 0, r.text) for r in found]
+        share *= min(SPARE, max(2.0, 1.5 * max_train_docs / max(1, len(found))))
 
 
 def personal_data(docs: DataFrame, max_train_docs: int = 2_000) -> DataFrame:

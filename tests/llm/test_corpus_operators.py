@@ -208,6 +208,16 @@ def test_personal_data(spark, awkward, empty):
     assert pii.personal_data(empty).count() == 0
 
 
+def test_training_texts_are_those_with_the_least_hashes(spark):
+    texts = [f"row {i} of 2024" if i % 9 == 0 else "no digit here" for i in range(400)]
+    docs = docs_of(spark, texts)
+    ranked = docs.where(F.col("text").contains("2024")).orderBy(F.xxhash64(F.col("doc_id").cast("long"), "text"))
+    plain = [r.doc_id for r in ranked.collect()]
+    for most in (1, 5, 40, 1000):
+        assert [i for i, _ in pii.training_texts(docs, most)] == plain[:most]
+    assert pii.training_texts(docs.where("false"), 5) == []
+
+
 def test_field_finds_what_patterns_miss():
     rng = random.Random(4)
     texts = [(i, f"{t} 4111111111111111 word a{i}@mail.example.com more +1 (017) 555-77{i % 90 + 10}") for i, t in enumerate(passages(1, 120))]
