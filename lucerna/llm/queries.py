@@ -14,6 +14,7 @@ from .ngram_join import near_duplicates
 from .piece_codec import encode_documents
 from .pii import personal_data
 from .quality import quality_scores
+from .resample import resampled
 from .sharding import byte_shards
 from .token_count import token_counts
 
@@ -75,11 +76,15 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_spans(table(spark, sf_dir, "documents"))
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_token_counts, op2_ngram_join, op3_sentencepiece, op4_chat_formatting, op5_sharding, op6_quality_classifier, op7_pii,
-        op8_exact_dedup, op9_decontamination, op10_substring_dedup,
+        op8_exact_dedup, op9_decontamination, op10_substring_dedup, op11_importance_resampling,
     )
 }
 
