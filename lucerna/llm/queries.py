@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .alignment import aligned
 from .chat_format import chat_windows, read_back
 from .common import table
 from .decontaminate import benchmark_matches
@@ -18,14 +19,14 @@ from .resample import resampled
 from .sharding import byte_shards
 from .token_count import token_counts
 
-MODEL_FILE = "piece_bpe_32k.model"
+MODEL_FILE, BYTE_LEVEL_FILE = "piece_bpe_32k.model", "byte_bpe_50k.json"
 
 
-def model_path() -> str:
+def model_path(name: str = MODEL_FILE) -> str:
     """The public model's place; the operators take any path."""
     import public_tokenizers
 
-    return public_tokenizers.path(MODEL_FILE)
+    return public_tokenizers.path(name)
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,11 +81,15 @@ def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return aligned(table(spark, sf_dir, "documents"), model_path(BYTE_LEVEL_FILE), model_path())
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_token_counts, op2_ngram_join, op3_sentencepiece, op4_chat_formatting, op5_sharding, op6_quality_classifier, op7_pii,
-        op8_exact_dedup, op9_decontamination, op10_substring_dedup, op11_importance_resampling,
+        op8_exact_dedup, op9_decontamination, op10_substring_dedup, op11_importance_resampling, op12_token_alignment,
     )
 }
 
