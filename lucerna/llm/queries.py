@@ -18,6 +18,7 @@ from .quality import quality_scores
 from .resample import resampled
 from .sharding import byte_shards
 from .token_count import token_counts
+from .toxicity import toxicity_scores
 
 MODEL_FILE, BYTE_LEVEL_FILE = "piece_bpe_32k.model", "byte_bpe_50k.json"
 
@@ -85,11 +86,15 @@ def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return aligned(table(spark, sf_dir, "documents"), model_path(BYTE_LEVEL_FILE), model_path())
 
 
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_token_counts, op2_ngram_join, op3_sentencepiece, op4_chat_formatting, op5_sharding, op6_quality_classifier, op7_pii,
-        op8_exact_dedup, op9_decontamination, op10_substring_dedup, op11_importance_resampling, op12_token_alignment,
+        op8_exact_dedup, op9_decontamination, op10_substring_dedup, op11_importance_resampling, op12_token_alignment, op13_toxicity,
     )
 }
 
