@@ -58,9 +58,10 @@ POST, OWN, SUM, SHARED, TARGET = range(5)
 
 
 def packed(*arrays: np.ndarray) -> bytes:
-    """Arrays as one compressed byte string."""
+    """Arrays as one compressed byte string; the first bytes of all numbers, then the second ones, which compresses better."""
     head = struct.pack(f"<{len(arrays)}q", *(a.nbytes for a in arrays))
-    return zstandard.ZstdCompressor(level=3).compress(head + b"".join(a.tobytes() for a in arrays))
+    planes = (np.ascontiguousarray(a).view(np.uint8).reshape(-1, a.dtype.itemsize).T.tobytes() for a in arrays)
+    return zstandard.ZstdCompressor(level=3).compress(head + b"".join(planes))
 
 
 def unpacked(data: bytes, *kinds) -> list[np.ndarray]:
@@ -68,7 +69,16 @@ def unpacked(data: bytes, *kinds) -> list[np.ndarray]:
     raw = zstandard.ZstdDecompressor().decompress(data)
     sizes = struct.unpack_from(f"<{len(kinds)}q", raw)
     ends = np.cumsum((8 * len(kinds), *sizes)).tolist()
-    return [np.frombuffer(raw, kind, (b - a) // np.dtype(kind).itemsize, a) for kind, a, b in zip(kinds, ends[:-1], ends[1:], strict=True)]
+    return [
+        np.ascontiguousarray(np.frombuffer(raw, np.uint8, b - a, a).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+        for kind, a, b in zip(kinds, ends[:-1], ends[1:], strict=True)
+    ]
+
+
+def split_lines(letters: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Lengths and bytes of strings that each end with a line feed."""
+    ends = np.flatnonzero(letters == 10)
+    return np.diff(ends, prepend=-1) - 1, letters[letters != 10]
 
 
 def blocks_of(texts: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, bool]]:
@@ -211,21 +221,21 @@ def block_rows(block: int, base: int, ids: pa.Array, data: np.ndarray, offsets:
         rank[shared] = np.arange(1, len(shared) + 1)
         order = np.argsort(shard, kind="stable")
         strings = pc.binary_join_element_wise(known.take(pa.array(one[order])), known.take(pa.array(two[order], mask=two[order] < 0)), pa.scalar(b" ", pa.large_binary()), null_handling="skip")
+        strings = pc.binary_join_element_wise(strings, pa.scalar(b"", pa.large_binary()), pa.scalar(b"\n", pa.large_binary()))
         places = np.frombuffer(strings.buffers()[1], np.int64)[strings.offset : strings.offset + len(strings) + 1]
         letters = np.frombuffer(strings.buffers()[2], np.uint8)
-        lengths = np.diff(places).astype(np.uint32)
         bounds = np.searchsorted(shard[order], np.arange(shards + 1))
         for s in np.flatnonzero(np.diff(bounds)).tolist():
             a, b = bounds[s], bounds[s + 1]
             part = order[a:b]
             if target:
-                put(s, TARGET, packed(lengths[a:b], letters[places[a] : places[b]], total[part]))
+                put(s, TARGET, packed(letters[places[a] : places[b]], total[part]))
                 continue
             mark = rank[part]
             light = part[mark == 0]
             at = ranges(start[light], df[light])
             put(s, POST, packed(
-                lengths[a:b], letters[places[a] : places[b]], np.where(mark > 0, 0, df[part]).astype(np.uint16), found["doc"][at], found["count"][at],
+                letters[places[a] : places[b]], np.where(mark > 0, 0, df[part]).astype(np.uint16), found["doc"][at], found["count"][at],
                 mark[mark > 0].astype(np.uint16), total[part[mark > 0]],
             ))
     if not target:
@@ -251,10 +261,12 @@ def resolve_shard(buckets: int):
                 if kind == OWN:
                     own.append((OWN, block, base, None, None, None, data))
                 elif kind == TARGET:
-                    lengths, letters, totals = unpacked(data, np.uint32, np.uint8, np.int64)
+                    letters, totals = unpacked(data, np.uint8, np.int64)
+                    lengths, letters = split_lines(letters)
                     held.append((block, base, lengths, letters, None, totals, None, None, None))
                 else:
-                    lengths, letters, df, docs, counts, marks, sums = unpacked(data, np.uint32, np.uint8, np.uint16, np.uint16, np.uint32, np.uint16, np.int64)
+                    letters, df, docs, counts, marks, sums = unpacked(data, np.uint8, np.uint16, np.uint16, np.uint32, np.uint16, np.int64)
+                    lengths, letters = split_lines(letters)
                     totals = np.zeros(len(df), np.int64)
                     some = df > 0
                     if some.any():
@@ -331,25 +343,20 @@ def bucket_gains(dictionary: DataFrame, buckets: int = BUCKETS) -> np.ndarray:
 def document_sums(dictionary: DataFrame, gains: np.ndarray) -> DataFrame:
     """key, doc_id, n_words and total (the sum of the gains of all features) of every document."""
     kind = np.uint16 if len(gains) <= 1 << 16 else np.uint32
+    schema, names, types = "base long, data binary, sums binary", ["base", "data", "sums"], (pa.int64(), pa.binary(), pa.binary())
 
-    def rows(base: int, sums: np.ndarray, ids=None, words=None) -> pa.RecordBatch:
-        at = np.flatnonzero(sums) if ids is None else np.arange(len(sums))
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.array(base + at), pa.nulls(len(at), pa.int64()) if ids is None else ids,
-                pa.array(np.zeros(len(at), np.int64) if words is None else words), pa.array(sums[at].astype(np.int64)),
-            ],
-            names=["key", "doc_id", "n_words", "total"],
-        )
+    def rows(found: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), types, strict=True)], names=names)
 
-    def add_up(found: np.ndarray, df: np.ndarray, docs: np.ndarray, counts: np.ndarray, size: int) -> np.ndarray:
-        return np.bincount(docs, np.repeat(gains[found], df) * counts, size)
+    def add_up(found: np.ndarray, df: np.ndarray, docs: np.ndarray, counts: np.ndarray, size: int) -> bytes:
+        return packed(np.bincount(docs, np.repeat(gains[found], df) * counts, size).astype(np.int64))
 
     def light(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for base, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                found, df, docs, counts = unpacked(data, kind, np.uint16, np.uint16, np.uint32)
-                yield rows(base, add_up(found, df, docs, counts, 0))
+            yield rows([
+                (base, None, add_up(*unpacked(data, kind, np.uint16, np.uint16, np.uint32), 0))
+                for base, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
+            ])
 
     def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -358,14 +365,38 @@ def document_sums(dictionary: DataFrame, gains: np.ndarray) -> DataFrame:
                 found = np.zeros(len(df), np.int64)
                 for place in places or ():
                     found[place["slot"] - 1] = place["a"]
-                yield rows(base, add_up(found, df, docs, counts, len(ids)), pa.array(ids, mask=~valid), words)
+                yield rows([(base, packed(ids, valid, words), add_up(found, df, docs, counts, len(ids)))])
+
+    def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come block by block: the sums of all shards, and what the block says of its documents."""
+
+        def row(base: int, ids: np.ndarray, valid: np.ndarray, words: np.ndarray, sums: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(base + np.arange(len(ids))), pa.array(ids, mask=~valid), pa.array(words), pa.array(sums)], names=["key", "doc_id", "n_words", "total"])
+
+        base, ids, valid, words, sums = None, None, None, None, np.zeros(0, np.int64)
+        for batch in batches:
+            for at, data, added in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                if at != base:
+                    if base is not None:
+                        yield row(base, ids, valid, words, sums)
+                    base, ids, words, sums = at, None, None, np.zeros(0, np.int64)
+                (added,) = unpacked(added, np.int64)
+                if len(added) > len(sums):
+                    sums = np.append(sums, np.zeros(len(added) - len(sums), np.int64))
+                sums[: len(added)] += added
+                if data is not None:
+                    ids, valid, more = unpacked(data, np.int64, np.bool_, np.int64)
+                    # Blocks that go on with a text have its first block's base.
+                    words = more if words is None else words + more
+        if base is not None:
+            yield row(base, ids, valid, words, sums)
 
-    schema = "key long, doc_id long, n_words long, total long"
     parts = dictionary.where(F.col("kind") == POST).select("base", "data").mapInArrow(light, schema)
     places = dictionary.where(F.col("kind") == SHARED).groupBy("block").agg(F.collect_list(F.struct("slot", "a")).alias("places"))
     own = dictionary.where(F.col("kind") == OWN).select("block", "base", "data").join(places, "block", "left").select("base", "data", "places")
     both = parts.unionByName(own.mapInArrow(shared, schema))
-    return both.groupBy("key").agg(F.max("doc_id").alias("doc_id"), F.sum("n_words").alias("n_words"), F.sum("total").alias("total"))
+    number = int(dictionary.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return both.repartition(number, "base").sortWithinPartitions("base").mapInArrow(documents, "key long, doc_id long, n_words long, total long")
 
 
 def drawn_ranks(scored: DataFrame, percent: int, min_words: int) -> DataFrame:
