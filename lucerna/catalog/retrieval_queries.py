@@ -6,39 +6,57 @@ from pyspark.sql import functions as F
 
 from ..functions import numbers as n
 from ..functions import text as t
-from ..functions.udfs import with_decomposed
+from ..functions.udfs import decomposed, with_decomposed
 from ..operators import evaluate as ev
 from ..operators import evidence as e
 from ..operators import records as rec
 from ..operators import retrieval as r
+from ..operators.index import KeptIndex, fingerprint
+from ..session import kept, shared_folder
 from . import query, table
-from .text_queries import ASCII, SQL_PREFIX, SQL_QUERY_TOKENS, SQL_STRIP, SQL_TOKENS
+from .lexical_sql import SQL_STRIP, stems, words_of
+from .text_queries import SQL_PREFIX
 
 # ---- sparse ----
 
-SQL_INDEX = f"""
-    dl AS (SELECT doc_id, tk, len(tk) AS n FROM (SELECT doc_id, {SQL_TOKENS} AS tk FROM documents WHERE {ASCII}) WHERE len(tk) > 0),
-    tf AS (SELECT doc_id, term, any_value(n) AS n, count(*) AS tf FROM (SELECT doc_id, n, unnest(tk) AS term FROM dl) GROUP BY 1, 2),
-    post AS (SELECT doc_id, term, tf * 2.2 / (tf + 1.2) / (0.25 + 0.75 * n / 128.0) AS weight FROM tf),
-    qt AS (SELECT item_id, term, count(*) AS tf FROM (SELECT item_id, unnest({SQL_QUERY_TOKENS}) AS term FROM benchmark WHERE {ASCII}) GROUP BY 1, 2),
+
+def sql_index(documents: str = "documents") -> str:
+    """Term counts, weights, frequencies and BM25's first 20 of each benchmark question, over a relation of documents."""
+    return f"""
+    {words_of(documents, "doc_id")},
+    {words_of("benchmark", "item_id", True, "q")},
+    every AS (SELECT word FROM w UNION SELECT word FROM q),
+    {stems("every")},
+    dl AS (SELECT doc_id, count(*) AS n FROM w GROUP BY 1),
+    tf AS (SELECT doc_id, stem AS term, count(*) AS tf FROM w JOIN stems USING (word) GROUP BY 1, 2),
+    post AS (SELECT doc_id, term, tf * 2.2 / (tf + 1.2) / (0.25 + 0.75 * n / 128.0) AS weight FROM tf JOIN dl USING (doc_id)),
+    qt AS (SELECT item_id, stem AS term, count(*) AS tf FROM q JOIN stems USING (word) GROUP BY 1, 2),
     df AS (SELECT term, count(*) AS df FROM post GROUP BY 1),
     tot AS (SELECT count(DISTINCT doc_id) AS total FROM post),
     qw AS (SELECT item_id, term, tf * 2.2 / (tf + 1.2) * ln(1 + (total - df + 0.5) / (df + 0.5)) AS q FROM qt JOIN df USING (term), tot),
     sc AS (SELECT item_id, doc_id, round(sum(q * weight), 9) AS score FROM qw JOIN post USING (term) GROUP BY 1, 2),
     sparse AS (SELECT * FROM (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rk FROM sc) WHERE rk <= 20)
-"""
+    """
+
+
+SQL_INDEX = sql_index()
 
 
 def _docs(spark, d):
-    return with_decomposed(table(spark, d, "documents").select("doc_id", "text"), "text")
+    return table(spark, d, "documents").select("doc_id", "text")
 
 
 def _items(spark, d):
-    return with_decomposed(table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text"), "text")
+    return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
 
 
-def _index(spark, d):
-    return r.postings(r.lexed(_docs(spark, d)).withColumn("zone", F.lit("body")), "doc_id")
+def kept_index(spark, d) -> KeptIndex:
+    """The index of the documents in the shared folder: made by the first query that asks for it, as long as the table's files are the same."""
+    docs = table(spark, d, "documents")
+    index = KeptIndex(spark, f"{shared_folder(spark)}/lucerna-index/documents_{fingerprint(docs)}", "doc_id")
+    if not index.segments():
+        index.put(docs.select("doc_id", "text"))
+    return index
 
 
 def _questions(spark, d):
@@ -52,17 +70,37 @@ def agg09_term_counts(spark, d):
 
 @query(f"WITH {SQL_INDEX} SELECT term, df FROM df")
 def agg10_document_frequencies(spark, d):
-    return r.document_frequencies(_index(spark, d))
+    return kept_index(spark, d).frequencies()
 
 
 @query(f"WITH {SQL_INDEX} SELECT doc_id, term, round(weight, 9) AS weight FROM post")
 def mat05_sparse_weights(spark, d):
-    return _index(spark, d).select("doc_id", "term", F.round("weight", 9).alias("weight"))
+    index = r.postings(r.lexed(_docs(spark, d)).withColumn("zone", F.lit("body")), "doc_id")
+    return index.select("doc_id", "term", F.round("weight", 9).alias("weight"))
 
 
 @query(f"WITH {SQL_INDEX} SELECT item_id, doc_id, score, rk::INT AS rk FROM sparse")
 def ret02_bm25(spark, d):
-    found = r.sparse_search(_questions(spark, d), _index(spark, d), 20, "doc_id")
+    found = kept_index(spark, d).search(_questions(spark, d), 20)
+    return found.select(F.col("query_id").alias("item_id"), "doc_id", F.col("sparse_score").alias("score"), F.col("sparse_rank").alias("rk"))
+
+
+CHANGED = "SELECT doc_id, CASE WHEN doc_id % 50 = 7 THEN 'refunds of ' || coalesce(text, '') ELSE text END AS text FROM documents WHERE doc_id % 50 <> 13"
+
+
+@query(f"WITH changed AS ({CHANGED}), {sql_index('changed')} SELECT item_id, doc_id, score, rk::INT AS rk FROM sparse")
+def idx01_changed_index(spark, d):
+    """A kept index that has lost some documents and got new texts for others, then has been compacted or not, by the documents' number."""
+    docs = table(spark, d, "documents")
+    path = f"{shared_folder(spark)}/lucerna-index/changed_{fingerprint(docs)}"
+    index = KeptIndex(spark, path, "doc_id")
+    if not index.segments():
+        index.put(docs.select("doc_id", "text"))
+    if len(index.segments()) == 1:
+        index.put(docs.where("doc_id % 50 = 7").select("doc_id", F.concat(F.lit("refunds of "), F.coalesce("text", F.lit(""))).alias("text")))
+    if len(index.segments()) == 2:
+        index.take(docs.where("doc_id % 50 = 13").select("doc_id"))
+    found = index.search(_questions(spark, d), 20)
     return found.select(F.col("query_id").alias("item_id"), "doc_id", F.col("sparse_score").alias("score"), F.col("sparse_rank").alias("rk"))
 
 
@@ -107,7 +145,8 @@ def mat02_dim_align(spark, d):
 
 # ---- fusion ----
 
-# Two legs over documents for each vector query: its neighbours' numbers, and a second list that overlaps.
+# Both legs over documents. SQL has no CRC-32 for the embedding's stand-in, so the fused queries are tested against plain Python;
+# ret03_fused_legs states the fusion over two given legs.
 SQL_LEGS = f"""
     {SQL_DENSE.strip()},
     second AS (SELECT query_id, (vec_id + CASE WHEN rk % 3 = 0 THEN 7 ELSE 0 END) AS vec_id, 21 - rk AS rk FROM dense WHERE (vec_id + query_id) % 2 = 0 OR rk < 5),
@@ -118,44 +157,71 @@ SQL_LEGS = f"""
 """
 
 
+def _legs(spark, d):
+    """Neighbours of each vector query, and a second list that overlaps with them."""
+    dense = r.dense_search(_vector_queries(spark, d), _vectors(spark, d), 20, "vec_id")
+    second = dense.where("(vec_id + query_id) % 2 = 0 OR dense_rank < 5").select(
+        "query_id", (F.col("vec_id") + F.when(F.col("dense_rank") % 3 == 0, 7).otherwise(0)).alias("vec_id"), (21 - F.col("dense_rank")).alias("rank")
+    )
+    return dense, second.groupBy("query_id", "vec_id").agg(F.min("rank").alias("sparse_rank"))
+
+
+@query(f"WITH {SQL_LEGS} SELECT query_id, vec_id, round(rrf, 9) AS rrf, rk::INT AS rk FROM ranked")
+def ret03_fused_legs(spark, d):
+    fused = r.fuse(*_legs(spark, d), key="vec_id")
+    return fused.select("query_id", "vec_id", F.round("rrf_score", 9).alias("rrf"), F.col("fused_rank").alias("rk"))
+
+
+@query(
+    f"WITH {SQL_LEGS}, c AS (SELECT *, max(rrf) OVER (PARTITION BY query_id) AS best, row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, vec_id) AS place FROM fused) "
+    "SELECT query_id, vec_id, place::INT AS place FROM c WHERE place <= CASE WHEN best >= 0.02 THEN 4 ELSE 15 END"
+)
+def top04_cut_legs(spark, d):
+    return r.adaptive_cut(r.fuse(*_legs(spark, d), key="vec_id"), 15, tie="vec_id").select("query_id", "vec_id", "place")
+
+
+@query(
+    f"WITH {SQL_LEGS}, b AS (SELECT query_id // 100 AS query_id, query_id AS sub_query, vec_id, rrf FROM fused) SELECT query_id, sub_query, vec_id, round(rrf, 9) AS rrf FROM "
+    "(SELECT *, row_number() OVER (PARTITION BY query_id, vec_id ORDER BY rrf DESC, sub_query) AS n FROM b) WHERE n = 1"
+)
+def win03_merged_legs(spark, d):
+    fused = r.fuse(*_legs(spark, d), key="vec_id")
+    branches = fused.select(F.floor(F.col("query_id") / 100).alias("query_id"), F.col("query_id").alias("sub_query"), "vec_id", "rrf_score")
+    return r.best_per_chunk(branches, "vec_id").select("query_id", "sub_query", "vec_id", F.round("rrf_score", 9).alias("rrf"))
+
+
 def _asked(items):
     """Questions with terms and vectors."""
-    return r.lexed(items, is_query=True).select("query_id", "terms", r.hashed_embedding(F.col("text")).alias("query_vector"))
+    return r.lexed(items, is_query=True).select("query_id", "terms", r.hashed_embedding(decomposed(F.col("text"))).alias("query_vector"))
 
 
 def _document_vectors(spark, d):
-    return _docs(spark, d).select("doc_id", r.hashed_embedding(F.col("text")).alias("vector"))
+    return _docs(spark, d).select("doc_id", r.hashed_embedding(decomposed(F.col("text"))).alias("vector"))
 
 
 def _fused(spark, d, items):
     """Both legs over documents, fused."""
-    asked = _asked(items)
+    asked = kept(_asked(items))
     dense = r.dense_search(asked, _document_vectors(spark, d), 20, "doc_id")
-    return r.fuse(dense, r.sparse_search(asked.select("query_id", "terms"), _index(spark, d), 20, "doc_id"), key="doc_id")
+    return r.fuse(dense, kept_index(spark, d).search(asked.select("query_id", "terms"), 20), key="doc_id")
 
 
-@query(f"WITH {SQL_LEGS} SELECT query_id, vec_id, round(rrf, 9) AS rrf, rk::INT AS rk FROM ranked")
+@query()
 def ret03_rank_fusion(spark, d):
     return _fused(spark, d, _items(spark, d)).select("query_id", "doc_id", F.round("rrf_score", 9).alias("rrf"), F.col("fused_rank").alias("rk"))
 
 
-@query(
-    f"WITH {SQL_LEGS}, c AS (SELECT *, max(rrf) OVER (PARTITION BY query_id) AS best, row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, vec_id) AS place FROM fused) "
-    "SELECT query_id, vec_id, place::INT AS place FROM c WHERE place <= CASE WHEN best >= 0.02 THEN 4 ELSE 15 END"
-)
+@query()
 def top04_adaptive_cut(spark, d):
     return r.adaptive_cut(_fused(spark, d, _items(spark, d)), 15, tie="doc_id").select("query_id", "doc_id", "place")
 
 
-@query(
-    f"WITH {SQL_LEGS}, b AS (SELECT query_id // 100 AS query_id, query_id AS sub_query, vec_id, rrf FROM fused) SELECT query_id, sub_query, vec_id, round(rrf, 9) AS rrf FROM "
-    "(SELECT *, row_number() OVER (PARTITION BY query_id, vec_id ORDER BY rrf DESC, sub_query) AS n FROM b) WHERE n = 1"
-)
+@query()
 def win03_fanout_merge(spark, d):
     """Each question's sub-questions, as the router makes them, searched on their own."""
     items = table(spark, d, "benchmark").select("item_id", F.posexplode(r.route(F.col("text"))["sub_queries"]).alias("sub_query", "text"))
     subs = items.select(F.col("item_id"), "sub_query", F.xxhash64("item_id", "sub_query").alias("query_id"), "text")
-    fused = _fused(spark, d, with_decomposed(subs.select("query_id", "text"), "text"))
+    fused = _fused(spark, d, subs.select("query_id", "text"))
     branches = fused.join(subs.drop("text"), "query_id").select(F.col("item_id").alias("query_id"), "sub_query", "doc_id", "rrf_score")
     return r.best_per_chunk(branches, "doc_id").select("query_id", "sub_query", "doc_id", F.round("rrf_score", 9).alias("rrf"))
 
@@ -180,6 +246,16 @@ def fil07_temporal_validity(spark, d):
     return kept.select("l_orderkey", "l_linenumber", "version")
 
 
+@query()
+def ret04_hybrid(spark, d):
+    """A document is its own chunk; it holds in the time that its text states."""
+    dates = [n.effective_date(F.col("text"), edge).cast("timestamp").alias(f"effective_{edge}") for edge in ("from", "until")]
+    documents = table(spark, d, "documents").select("doc_id", *dates, F.lit("1.0").alias("version"), F.lit("f").alias("filename"))
+    vectors = _document_vectors(spark, d).withColumn("chunk_id", F.col("doc_id"))
+    found = r.hybrid(kept(_asked(_items(spark, d))), kept_index(spark, d), vectors, documents, F.lit("2025-07-01").cast("timestamp"), 20, 20, 10)
+    return found.select("query_id", "doc_id", "place")
+
+
 @query(
     f"""
     WITH {SQL_LEGS}, p AS (SELECT vec_id, CASE WHEN vec_id % 3 = 0 THEN TIMESTAMP '2026-01-01' END AS f, label FROM embeddings),
@@ -188,14 +264,14 @@ def fil07_temporal_validity(spark, d):
     SELECT query_id, vec_id, place::INT AS place FROM c WHERE place <= CASE WHEN best >= 0.02 THEN 4 ELSE 10 END
     """
 )
-def ret04_hybrid(spark, d):
-    """A document is its own chunk; it holds in the time that its text states."""
-    dates = [n.effective_date(F.col("text"), edge).cast("timestamp").alias(f"effective_{edge}") for edge in ("from", "until")]
-    documents = table(spark, d, "documents").select("doc_id", *dates, F.lit("1.0").alias("version"), F.lit("f").alias("filename"))
-    index = _index(spark, d).withColumnRenamed("doc_id", "chunk_id")
-    vectors = _document_vectors(spark, d).withColumn("chunk_id", F.col("doc_id"))
-    found = r.hybrid(_asked(_items(spark, d)), index, vectors, documents, F.lit("2025-07-01").cast("timestamp"), 20, 20, 10)
-    return found.select("query_id", "doc_id", "place")
+def ret04_valid_legs(spark, d):
+    """Two given legs, fused, cut to what holds at the reference time, then to the first ones."""
+    held = table(spark, d, "embeddings").select(
+        F.col("vec_id").alias("doc_id"), F.when(F.col("vec_id") % 3 == 0, F.lit("2026-01-01").cast("timestamp")).alias("effective_from"), F.lit(None).cast("timestamp").alias("effective_until"),
+        F.lit("1.0").alias("version"), F.lit("f").alias("filename"),
+    )
+    fused = r.fuse(*_legs(spark, d), key="vec_id").withColumn("doc_id", F.col("vec_id"))
+    return r.adaptive_cut(r.valid_at(fused, held, F.lit("2025-07-01").cast("timestamp")), 10, tie="vec_id").select("query_id", "vec_id", "place")
 
 
 @query("SELECT doc_id, least(2 * k, cap + 16)::INT AS top_k, least(2 * cap, cap + 4)::INT AS context FROM (SELECT doc_id, doc_id % 40 AS k, doc_id % 9 AS cap FROM documents)")
@@ -207,9 +283,9 @@ def ret08_expanded_limits(spark, d):
 @query()
 def ret07_rerank(spark, d):
     """Questions with their BM25 candidates, reranked by shared words."""
-    found = r.sparse_search(_questions(spark, d), _index(spark, d), 20, "doc_id")
-    items = _items(spark, d).withColumnRenamed("text", "query")
-    rows = found.join(_docs(spark, d), "doc_id").join(items, "query_id").withColumnRenamed("sparse_rank", "fused_rank")
+    found = kept_index(spark, d).search(_questions(spark, d), 20)
+    items = with_decomposed(_items(spark, d), "text").withColumnRenamed("text", "query")
+    rows = found.join(with_decomposed(_docs(spark, d), "text"), "doc_id").join(items, "query_id").withColumnRenamed("sparse_rank", "fused_rank")
     return r.rerank(rows, 8, key="doc_id").select("query_id", "doc_id", F.round("rerank_score", 6).alias("score"), F.col("rerank_rank").alias("rk"))
 
 

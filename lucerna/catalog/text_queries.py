@@ -7,15 +7,15 @@ from pyspark.sql import functions as F
 from ..functions import numbers as n
 from ..functions import text as t
 from ..functions import words as w
-from ..functions.udfs import stem_terms, with_decomposed, xxh32
+from ..functions.udfs import decomposed as with_marks_apart
+from ..functions.udfs import stem_terms, xxh32
 from ..operators.chunking import chunk_pages, fixed_chunks, line_blocks
-from ..operators.retrieval import route
+from ..operators import retrieval as r
+from ..operators.retrieval import lexed, route
 from ..sources import files, urls
 from . import query, table
-
-
-def _sql_list(items: list[str]) -> str:
-    return "[" + ", ".join("'" + x.replace("'", "''") + "'" for x in items) + "]"
+from .lexical_sql import SQL_NORM, SQL_STRIP, decomposed, stems, words_of
+from .lexical_sql import sql_list as _sql_list
 
 
 def _sql_any(column: str, items: list[str]) -> str:
@@ -26,47 +26,36 @@ def _sql_starts(column: str, items: list[str]) -> str:
     return f"len(list_filter({_sql_list(items)}, lambda m: starts_with({column}, m))) > 0"
 
 
-SQL_STRIP = r"regexp_replace({0}, '^\s+|\s+$', '', 'g')"
-_replaced = "lower(regexp_replace(regexp_replace(coalesce(text, ''), '[\\x{F000}-\\x{FFFF}\\x{2022}\\x{2023}\\x{25CF}\\x{25CB}\\x{25AA}\\x{25AB}]', ' ', 'g'), '([\\p{L}\\p{N}_]+)-\\s*\\n\\s*([\\p{L}\\p{N}_]+)', '\\1\\2', 'g'))"
-for _short, _long in w.CONTRACTIONS:
-    _replaced = f"replace({_replaced}, '{_short.replace(chr(39), chr(39) * 2)}', '{_long}')"
-#: Normalised text, as SQL over a column `text`.
-SQL_NORM = SQL_STRIP.format(rf"regexp_replace(regexp_replace({_replaced}, '[ \t\r\f\x0B]+', ' ', 'g'), '\n{{3,}}', chr(10) || chr(10), 'g')")
-#: Tokens of ASCII text: words of letters, digits and underscores, of which those with an underscore don't count.
-_stop = _sql_list([x for x in t.stopwords() if "'" not in x])
-_query_stop = _sql_list([x for x in t.stopwords(True) if "'" not in x])
-SQL_TOKENS = rf"list_filter(regexp_extract_all({SQL_NORM}, '[a-z0-9_]+(?:-[a-z0-9_]+)*'), lambda x: NOT contains(x, '_') AND NOT list_contains({_stop}, x) AND (length(x) > 1 OR regexp_full_match(x, '[0-9]')))"
-SQL_QUERY_TOKENS = SQL_TOKENS.replace(_stop, _query_stop)
-ASCII = r"NOT regexp_matches(text, '[^\x00-\x7F]')"
-
-
-@query(f"SELECT doc_id, sha256({SQL_NORM}) AS digest, length({SQL_NORM}) AS chars FROM documents")
+@query(f"SELECT doc_id, sha256({SQL_NORM}) AS digest, length({SQL_NORM}) AS chars FROM (SELECT doc_id, {decomposed('text')} AS text FROM documents)")
 def str01_normalize(spark, d):
-    norm = t.normalize(F.col("text"))
+    norm = t.normalize(with_marks_apart(F.col("text")))
     return table(spark, d, "documents").select("doc_id", n.text_hash(norm).alias("digest"), F.length(norm).cast("long").alias("chars"))
 
 
-@query(f"SELECT doc_id, len(tk) AS tokens, sha256(array_to_string(tk, ' ')) AS digest FROM (SELECT doc_id, {SQL_TOKENS} AS tk FROM documents WHERE {ASCII})")
+@query(
+    f"WITH {words_of('documents', 'doc_id')}, {stems('w')}, l AS (SELECT row_no, list(stem ORDER BY place) AS tk FROM w JOIN stems USING (word) GROUP BY 1) "
+    "SELECT doc_id, coalesce(len(tk), 0) AS tokens, sha256(coalesce(array_to_string(tk, ' '), '')) AS digest FROM w_list LEFT JOIN l USING (row_no)"
+)
 def str02_lex_tokens(spark, d):
-    rows = with_decomposed(table(spark, d, "documents").select("doc_id", "text"), "text").select("doc_id", t.tokens(t.normalize(F.col("text"))).alias("tk"))
-    return rows.select("doc_id", F.size("tk").cast("long").alias("tokens"), n.text_hash(F.array_join("tk", " ")).alias("digest"))
+    rows = lexed(table(spark, d, "documents").select("doc_id", "text"))
+    return rows.select("doc_id", F.size("terms").cast("long").alias("tokens"), n.text_hash(F.array_join("terms", " ")).alias("digest"))
 
 
-@query()
+@query(f"WITH {words_of('documents', 'doc_id')}, {stems('w')} SELECT stem AS term, count(*) AS n FROM w JOIN stems USING (word) GROUP BY 1")
 def str03_stem_vocabulary(spark, d):
     """Decomposition, lexing and stems over all languages; the stemmer sees each distinct word once."""
-    docs = with_decomposed(table(spark, d, "documents").select("doc_id", "text"), "text")
-    words = docs.select(F.explode(t.tokens(t.normalize(F.col("text")))).alias("term"))
+    words = lexed(table(spark, d, "documents").select("doc_id", "text"), stemmed=False).select(F.explode("terms").alias("term"))
     counts = words.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
     return stem_terms(counts).groupBy("term").agg(F.sum("n").alias("n"))
 
 
 @query(
-    f"SELECT item_id, len(bg) AS bigrams, sha256(array_to_string(bg, ' ')) AS digest FROM (SELECT item_id, CASE WHEN len(tk) < 2 THEN [] ELSE "
-    f"list_transform(range(1, len(tk)), lambda i: tk[i] || '_' || tk[i + 1]) END AS bg FROM (SELECT item_id, {SQL_TOKENS} AS tk FROM benchmark WHERE {ASCII}))"
+    f"WITH {words_of('benchmark', 'item_id')}, {stems('w')}, l AS (SELECT row_no, list(stem ORDER BY place) AS tk FROM w JOIN stems USING (word) GROUP BY 1), "
+    "b AS (SELECT item_id, CASE WHEN coalesce(len(tk), 0) < 2 THEN [] ELSE list_transform(range(1, len(tk)), lambda i: tk[i] || '_' || tk[i + 1]) END AS bg FROM w_list LEFT JOIN l USING (row_no)) "
+    "SELECT item_id, len(bg) AS bigrams, sha256(array_to_string(bg, ' ')) AS digest FROM b"
 )
 def str04_bigrams(spark, d):
-    rows = with_decomposed(table(spark, d, "benchmark").select("item_id", "text"), "text").select("item_id", t.ngrams(t.tokens(t.normalize(F.col("text")))).alias("bg"))
+    rows = lexed(table(spark, d, "benchmark").select("item_id", "text")).select("item_id", t.ngrams(F.col("terms")).alias("bg"))
     return rows.select("item_id", F.size("bg").cast("long").alias("bigrams"), n.text_hash(F.array_join("bg", " ")).alias("digest"))
 
 
@@ -132,16 +121,16 @@ def str10_think_blocks(spark, d):
 @query(
     "SELECT conv_id, turn, CASE WHEN length(x) < 20 THEN 'ABSTAIN' ELSE x END AS answer FROM (SELECT conv_id, turn, "
     + SQL_STRIP.format(rf"regexp_replace({SQL_STRIP.format('a')}, '(?:(?:^|\s+)ABSTAIN\.*)+$', '')")
-    + " AS x FROM (SELECT conv_id, turn, text || CASE turn % 3 WHEN 0 THEN ' ABSTAIN.' WHEN 1 THEN chr(10) || 'ABSTAIN ABSTAIN' ELSE '' END AS a FROM conversations WHERE text <> ''))"
+    + " AS x FROM (SELECT conv_id, turn, text || CASE turn % 3 WHEN 0 THEN ' ABSTAIN.' WHEN 1 THEN chr(10) || 'ABSTAIN ABSTAIN' ELSE '' END AS a FROM conversations))"
 )
 def str11_strip_abstain(spark, d):
     tail = F.when(F.col("turn") % 3 == 0, " ABSTAIN.").when(F.col("turn") % 3 == 1, "\nABSTAIN ABSTAIN").otherwise("")
-    return table(spark, d, "conversations").where("text <> ''").select("conv_id", "turn", t.strip_abstain(F.concat("text", tail)).alias("answer"))
+    return table(spark, d, "conversations").select("conv_id", "turn", t.strip_abstain(F.concat("text", tail)).alias("answer"))
 
 
 @query(
     "SELECT conv_id, turn, CASE WHEN length(x) < 20 THEN " + SQL_STRIP.format("'[CONTEXT] c [ANSWER] Answer: ' || text || ' [REASONING] r'")
-    + " ELSE x END AS answer FROM (SELECT conv_id, turn, text, " + SQL_STRIP.format("text") + f" AS x FROM conversations WHERE {ASCII})"
+    + " ELSE x END AS answer FROM (SELECT conv_id, turn, text, " + SQL_STRIP.format("text") + " AS x FROM conversations)"
 )
 def str12_final_answer(spark, d):
     answer = F.concat(F.lit("[CONTEXT] c [ANSWER] Answer: "), "text", F.lit(" [REASONING] r"))
@@ -181,10 +170,10 @@ _verbs = _sql_list(w.PREDICATES)
 
 @query(
     rf"""
-    WITH c AS (SELECT conv_id, turn, 'The plan of ' || left(text, 30) || CASE turn % 3 WHEN 0 THEN ' Covers and is new.' WHEN 1 THEN ' has it' ELSE '' END AS text FROM conversations),
+    WITH c AS (SELECT conv_id, turn, text FROM conversations),
     p AS (SELECT conv_id, turn, list_filter(string_split_regex(regexp_replace({SQL_STRIP.format('text')}, '\.+$', ''), '\s+'), lambda x: x <> '') AS v FROM c),
     q AS (SELECT *, list_filter(list_transform({_verbs}, lambda p: coalesce(list_position(list_transform(v[2:len(v) - 1], lambda x: lower(x)), p), 0)), lambda i: i > 0)[1] + 1 AS i FROM p)
-    SELECT conv_id, turn, CASE WHEN i IS NOT NULL THEN array_to_string(v[1:i - 1], ' ') WHEN len(v) >= 4 THEN array_to_string(v[1:2], ' ') ELSE v[1] END AS subject,
+    SELECT conv_id, turn, CASE WHEN len(v) = 0 THEN NULL WHEN i IS NOT NULL THEN array_to_string(v[1:i - 1], ' ') WHEN len(v) >= 4 THEN array_to_string(v[1:2], ' ') ELSE v[1] END AS subject,
         CASE WHEN i IS NOT NULL THEN v[i] WHEN len(v) >= 4 THEN v[3] END AS predicate,
         CASE WHEN i IS NOT NULL THEN array_to_string(v[i + 1:], ' ') WHEN len(v) >= 4 THEN array_to_string(v[4:], ' ') END AS object FROM q
     """
@@ -309,15 +298,20 @@ def fil15_scaffold_echo(spark, d):
     return table(spark, d, "documents").select("doc_id", t.is_scaffold_echo(F.col("text")).alias("loops"))
 
 
-@query(f"SELECT conv_id, turn, r <> '' AND {_echo} AS echoes FROM (SELECT conv_id, turn, CASE turn % 2 WHEN 0 THEN left(text, 60) ELSE 'Your task: ' || left(text, 20) END AS r FROM conversations)")
+@query(f"SELECT conv_id, turn, r <> '' AND {_echo} AS echoes FROM (SELECT conv_id, turn, text AS r FROM conversations)")
 def fil16_instruction_echo(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", t.is_instruction_echo(F.col("text")).alias("echoes"))
 
 
-@query("SELECT conv_id, turn, turn % 2 = 1 AND trim(left(text, 12)) <> 'ABSTAIN' AND len(list_filter(string_split_regex(left(text, 12), '\\s+'), lambda x: x <> '')) < 5 AS stub FROM conversations")
+@query(
+    "SELECT conv_id, turn, status = 'FAILED' AND claims = 0 AND NOT regexp_full_match(text, '\\s*ABSTAIN\\s*') AND words < 5 AS stub FROM (SELECT conv_id, turn, text, words, words // 12 AS claims, "
+    "CASE WHEN words < 12 THEN 'FAILED' ELSE 'TRUSTED' END AS status FROM (SELECT conv_id, turn, text, len(list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '')) AS words FROM conversations))"
+)
 def fil17_stubs(spark, d):
-    status = F.when(F.col("turn") % 2 == 1, "FAILED").otherwise("TRUSTED")
-    return table(spark, d, "conversations").select("conv_id", "turn", t.is_degenerate_stub(status, F.lit(0), F.col("text")).alias("stub"))
+    """Claims as many as dozens of words, the status failed without any: stubs are the turns of under five words."""
+    claims = F.floor(t.word_count(F.col("text")) / 12)
+    status = F.when(claims == 0, "FAILED").otherwise("TRUSTED")
+    return table(spark, d, "conversations").select("conv_id", "turn", t.is_degenerate_stub(status, claims, F.col("text")).alias("stub"))
 
 
 # ---- dates, hashes, content checks ----
@@ -354,11 +348,11 @@ def hsh02_ids(spark, d):
 @query()
 def mat05_hashed_terms(spark, d):
     """The hashed vocabulary: each stem's index modulo a million, and how many stems share it."""
-    words = table(spark, d, "documents").select(F.explode(t.tokens(t.normalize(F.col("text")))).alias("term")).distinct()
-    return words.select((xxh32("term") % 1_000_000).alias("idx")).groupBy("idx").agg(F.count(F.lit(1)).alias("terms"))
+    stems_ = lexed(table(spark, d, "documents").select("text")).select(F.explode("terms").alias("term")).distinct()
+    return stems_.select((xxh32("term") % 1_000_000).alias("idx")).groupBy("idx").agg(F.count(F.lit(1)).alias("terms"))
 
 
-@query("SELECT doc_id, length(regexp_replace(left(text, (doc_id % 100)::INT), '^\\s+|\\s+$', '', 'g')) < 50 AS needs_ocr FROM documents")
+@query("SELECT doc_id, length(regexp_replace(coalesce(text, ''), '^\\s+|\\s+$', '', 'g')) < 50 AS needs_ocr FROM documents")
 def src08_ocr_gate(spark, d):
     return table(spark, d, "documents").select("doc_id", files.needs_ocr(F.col("text")).alias("needs_ocr"))
 
@@ -438,17 +432,25 @@ def src03_csv_lines(spark, d):
 
 # ---- routes, chunks ----
 
-_ask = "CASE conv_id % 5 WHEN 0 THEN 'Compare plan ' || conv_id::VARCHAR || ' and plan B' WHEN 1 THEN 'fees in 2025 for ' || conv_id::VARCHAR WHEN 2 THEN 'What is A? Why ' || conv_id::VARCHAR || '? How? Really?' WHEN 3 THEN 'Pro vs. Team ' || conv_id::VARCHAR || '?' ELSE 'plain words ' || conv_id::VARCHAR END"
+_trimmed = "list_filter(list_transform({0}, lambda p: " + SQL_STRIP.format("regexp_replace(" + SQL_STRIP.format("p") + r", '^[?.!]+|[?.!]+$', '', 'g')") + "), lambda p: length(p) >= 2)"
+_pair = lambda p: _trimmed.format(f"[regexp_extract(x, '{p}', 1), regexp_extract(x, '{p}', 2)]")
 
 
 @query(
-    f"SELECT conv_id, CASE conv_id % 5 WHEN 0 THEN 'comparison' WHEN 1 THEN 'temporal' WHEN 2 THEN 'complex' WHEN 3 THEN 'comparison' ELSE 'simple' END AS route, "
-    f"CASE conv_id % 5 WHEN 0 THEN 'plan ' || conv_id::VARCHAR || '|plan B' WHEN 2 THEN 'What is A|Why ' || conv_id::VARCHAR || '|How' WHEN 3 THEN 'Pro|Team ' || conv_id::VARCHAR ELSE {_ask} END AS subs, "
-    "CASE WHEN conv_id % 5 = 1 THEN TIMESTAMP '2025-07-01' END AS reference_time FROM (SELECT DISTINCT conv_id FROM conversations)"
+    f"""
+    WITH a AS (SELECT conv_id, turn, text, {SQL_STRIP.format("coalesce(text, '')")} AS x FROM conversations),
+    b AS (SELECT *, (CASE WHEN regexp_matches(x, '{r.DIFFERENCE}') THEN {_pair(r.DIFFERENCE)} WHEN regexp_matches(x, '{r.COMPARE}') THEN {_pair(r.COMPARE)}
+        WHEN regexp_matches(x, '(?i)\\bvs\\.?\\b') THEN {_trimmed.format("string_split_regex(x, '(?i)\\bvs\\.?\\b')")} ELSE {_trimmed.format("string_split_regex(x, '(?i)\\bversus\\b')")} END)[1:3] AS sides,
+        {_trimmed.format("string_split(x, '?')")}[1:3] AS asked, regexp_extract(x, '{r.YEAR}', 1) AS year FROM a),
+    c AS (SELECT *, CASE WHEN x = '' THEN 'simple' WHEN regexp_matches(x, '{r.COMPARISON}') THEN CASE WHEN len(sides) >= 2 THEN 'comparison' ELSE 'simple' END
+        WHEN year <> '' OR regexp_matches(x, '{r.TEMPORAL}') THEN 'temporal' WHEN len(asked) >= 2 THEN 'complex' ELSE 'simple' END AS route FROM b)
+    SELECT conv_id, turn, route, coalesce(array_to_string(CASE route WHEN 'comparison' THEN sides WHEN 'complex' THEN asked ELSE [text] END, '|'), '') AS subs,
+        CASE WHEN route = 'temporal' AND year <> '' THEN (year || '-07-01')::TIMESTAMP END AS reference_time FROM c
+    """
 )
 def ret05_routes(spark, d):
-    rows = table(spark, d, "conversations").select("conv_id", "turn", route(F.col("text")).alias("r"))
-    return rows.select("conv_id", "turn", "r.route", F.array_join("r.sub_queries", "|").alias("subs"), F.col("r.reference_time").cast("timestamp_ntz").alias("reference_time"))
+    rows = table(spark, d, "conversations").select("conv_id", "turn", route(F.col("text")).alias("x"))
+    return rows.select("conv_id", "turn", "x.route", F.array_join("x.sub_queries", "|").alias("subs"), F.col("x.reference_time").cast("timestamp_ntz").alias("reference_time"))
 
 
 @query("SELECT doc_id, (s // 448)::INT AS chunk_index, s::INT AS character_offset, sha256(substring(text, s + 1, 512)) AS digest FROM (SELECT doc_id, text, unnest(range(0, greatest((length(text) - 65) // 448, 0) * 448 + 1, 448)) AS s FROM documents WHERE length(text) > 0)")

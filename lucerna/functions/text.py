@@ -141,7 +141,8 @@ def final_answer(answer: Column) -> Column:
     text = F.when(
         answer.contains(w.ANSWER_MARKS[0]), F.substring_index(answer, w.ANSWER_MARKS[0], -1)
     ).when(answer.contains(w.ANSWER_MARKS[1]), F.substring_index(answer, w.ANSWER_MARKS[1], -1)).otherwise(answer)
-    upper = F.upper(text)
+    # ASCII letters alone: the capital form of others can be longer, which would move the place.
+    upper = F.translate(text, "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
     cut = F.least(*[F.when(F.locate(m, upper) > 0, F.locate(m, upper) - 1).otherwise(F.length(text)) for m in w.SCAFFOLD_BLOCKS])
     out = strip(F.substring(text, F.lit(1), cut))
     out = F.when(F.lower(out).startswith("answer:"), strip(F.substring(out, F.lit(8), F.length(out)))).otherwise(out)

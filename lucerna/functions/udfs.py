@@ -7,9 +7,11 @@ import unicodedata
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StringType
+from pyspark.sql.types import ArrayType, LongType, StringType
 
 # The suffix rules of the published algorithm, longest first where one ends another.
 STEP_2 = {
@@ -105,11 +107,22 @@ def xxh32(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else xxhash.xxh32(t.encode()).intdigest())
 
 
+@F.arrow_udf(ArrayType(StringType()))
+def stem_all(terms: pa.Array) -> pa.Array:
+    """Stems of rows of words; each distinct word of a batch is stemmed once."""
+    words = terms.flatten().dictionary_encode()
+    stems = pa.array([None if x is None else porter_stem(x) for x in words.dictionary.to_pylist()], pa.string())
+    at = pa.array([0, *pc.cumulative_sum(pc.fill_null(pc.list_value_length(terms), 0)).to_pylist()], pa.int32())
+    return pa.ListArray.from_arrays(at, stems.take(words.indices), mask=terms.is_null() if terms.null_count else None)
+
+
+def decomposed(text: Column) -> Column:
+    """The text decomposed; ASCII texts don't leave the JVM: the function gets nulls in their place."""
+    return F.coalesce(decompose(F.when(text.rlike(r"[^\x00-\x7F]"), text)), text)
+
+
 def with_decomposed(df: DataFrame, column: str) -> DataFrame:
-    """The column decomposed; ASCII texts don't leave the JVM."""
-    ascii_only = ~F.col(column).rlike(r"[^\x00-\x7F]")
-    plain, other = df.where(ascii_only | F.col(column).isNull()), df.where(~ascii_only)
-    return plain.unionByName(other.withColumn(column, decompose(column)))
+    return df.withColumn(column, decomposed(F.col(column)))
 
 
 def stem_terms(terms: DataFrame, column: str = "term") -> DataFrame:
