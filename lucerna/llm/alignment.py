@@ -41,6 +41,8 @@ from .resample import packed, ranges, unpacked
 
 #: Bytes of text whose pairs a row holds, and that are handled at once; stretches of a long text handled at once.
 PART_BYTES, STEP_BYTES, LONG = 16 << 20, 2 << 20, 1 << 16
+#: Memory that the cache of stretches may take; an entry holds some hundred bytes besides its characters.
+CACHE_BYTES, ENTRY_BYTES = 160 << 20, 400
 #: Starts with the space; a space after white space belongs to the stretch.
 STRETCH = re.compile(r"\s+[^ ]*(?:(?<=\s) [^ ]*)*")
 BYTE = re.compile(r"<0x([0-9A-F]{2})>")
@@ -93,7 +95,7 @@ class Aligner:
         )
         self.sizes_b = np.array([len(x.as_py()) for x in self.bytes_b], np.int64)
         self.width = len(pieces)
-        self.cache = StretchCache(self.entries)
+        self.cache = StretchCache(self.entries, CACHE_BYTES, ENTRY_BYTES)
 
     def _ids(self, items: list[str]) -> tuple[list[np.ndarray], list[np.ndarray], list[str]]:
         """Ids by A and B for runs of the stretches, and the stretches in that order; B's as they are in a text."""
@@ -101,14 +103,16 @@ class Aligner:
         alone = [x for x in items if x[-1].isspace()]
         runs = [*joined_stretches([x for x in items if not x[-1].isspace()]), *([x] for x in alone)]
         texts = ["".join(run) for run in runs]
-        ids_a = [np.array(x.ids, np.int64) for x in self.a.encode_batch(texts, add_special_tokens=False)]
+        ids_a = [np.array(x.ids, np.int64) for x in self.a.encode_batch_fast(texts, add_special_tokens=False)]
         ids_b = [np.array(x, np.int64) for x in self.b.encode([x[1:] for x in texts], num_threads=1)]
         # The library gives no token for no text; a space alone has its own.
         mark = np.array([self.b.piece_to_id(MARK)], np.int64)
         return ids_a, [x if len(x) else mark for x in ids_b], [x for run in runs for x in run]
 
     def _whole(self, ids_a: np.ndarray, ids_b: np.ndarray, text: bytes) -> bool:
-        return self.sizes_a[ids_a].sum() == len(text) and b"".join(self.bytes_b.take(pa.array(ids_b)).to_pylist()) == text
+        if self.sizes_a[ids_a].sum() != len(text) or self.sizes_b[ids_b].sum() != len(text):
+            return False
+        return self.bytes_b.take(pa.array(ids_b)).buffers()[2].to_pybytes()[: len(text)] == text
 
     def entries(self, missing: list[str]) -> list[tuple]:
         """(A tokens, B tokens, groups, links, groups as text, id pairs of links) of each stretch; None where B's bytes differ."""

@@ -125,14 +125,15 @@ def stretch_ends(sizes: np.ndarray, ids: np.ndarray, run: list[str]) -> np.ndarr
 class StretchCache:
     """What a function gives for stretches. Two generations: when the newer has half of the memory bound, the older is forgotten."""
 
-    def __init__(self, encode: Callable[[list[str]], Iterable]):
+    def __init__(self, encode: Callable[[list[str]], Iterable], cache_bytes: int = CACHE_BYTES, entry_bytes: int = ENTRY_BYTES):
         self.encode, self.now, self.old, self.size, self.once = encode, {}, {}, 0, []
+        self.cache_bytes, self.entry_bytes = cache_bytes, entry_bytes
 
     def learn(self, lists: list[list[str]]) -> Callable[[str], object]:
         """What finds any stretch of the lists, until the next call."""
         for stretch in self.once:
             self.now.pop(stretch, None)
-        if self.size > CACHE_BYTES // 2:
+        if self.size > self.cache_bytes // 2:
             self.now, self.old, self.size = {}, self.now, 0
         wanted = set().union(*lists).difference(self.now)
         known = wanted.intersection(self.old) if self.old else set()
@@ -140,7 +141,7 @@ class StretchCache:
         missing = list(wanted - known)
         self.now.update(zip(missing, self.encode(missing), strict=True))
         self.once = [x for x in missing if len(x) > LONGEST_KEPT]
-        self.size += 2 * sum(map(len, wanted)) + ENTRY_BYTES * len(wanted)
+        self.size += 2 * sum(map(len, wanted)) + self.entry_bytes * len(wanted)
         return self.now.__getitem__
 
 
