@@ -11,6 +11,7 @@ from ..operators import evaluate as ev
 from ..operators import evidence as e
 from ..operators import records as rec
 from ..operators import retrieval as r
+from ..operators.dense import CellIndex
 from ..operators.index import KeptIndex, fingerprint
 from ..session import kept, shared_folder
 from . import query, table
@@ -123,10 +124,25 @@ def _vector_queries(spark, d):
 
 @query(f"WITH {SQL_DENSE} SELECT query_id, vec_id, score, rk::INT AS rk FROM dense")
 def ret01_dense(spark, d):
+    """Exact, through cells and codes."""
+    found = CellIndex.build(_vectors(spark, d), "vec_id").search(_vector_queries(spark, d), 20, exact=True)
+    return found.select("query_id", "vec_id", F.col("dense_score").alias("score"), F.col("dense_rank").alias("rk"))
+
+
+@query(f"WITH {SQL_DENSE} SELECT query_id, vec_id, score, rk::INT AS rk FROM dense")
+def ret01_dense_blocks(spark, d):
+    """Exact, by blocks of questions against all vectors, without an index."""
     found = r.dense_search(_vector_queries(spark, d), _vectors(spark, d), 20, "vec_id")
     return found.select("query_id", "vec_id", F.col("dense_score").alias("score"), F.col("dense_rank").alias("rk"))
 
 
+@query()
+def ret01_dense_cells(spark, d):
+    """The nearest cells alone: recall is measured in tests."""
+    found = CellIndex.build(_vectors(spark, d), "vec_id").search(_vector_queries(spark, d), 20)
+    return found.select("query_id", "vec_id", F.col("dense_score").alias("score"), F.col("dense_rank").alias("rk"))
+
+
 @query("SELECT a.vec_id, round(coalesce(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 0), 6) AS similarity FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
 def mat01_cosine_pairs(spark, d):
     a = _vectors(spark, d)
