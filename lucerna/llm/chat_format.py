@@ -4,9 +4,12 @@ Template of a turn: `<|im_start|>role\ntext<|im_end|>\n`. Control strings inside
 backslash goes after each `<` that `|` or a backslash follows, so `<|` occurs in the output as the
 template's own only, and taking the backslash out again restores every text. Roles are percent-encoded.
 
-Windows. A turn costs ceil(bytes / bytes_per_token) + turn_tokens tokens. The prefix sum of costs before a
-turn, divided by window_tokens, numbers the window that the turn is new in; windows are then numbered without
-gaps. A window so holds less than window_tokens + its last turn. The first system turn of a conversation opens
+Windows. A turn costs ceil(bytes / bytes_per_token) + turn_tokens tokens, of its text as it is written. What a window may hold of new
+turns is window_tokens less history_tokens and the conversation's system turn, a quarter of window_tokens at least. The prefix sum of
+costs before a turn, divided by half of that, numbers the stretch that the turn starts in; a turn that costs more than the half stands alone
+behind the others of its stretch. So a window never exceeds window_tokens, with two exceptions that no cut between turns could mend: a turn that alone
+is larger than what a window may hold, and a system turn over three quarters of a window less history. Windows are numbered without
+gaps. The first system turn of a conversation opens
 each window that does not hold it as new. Turns of the preceding window that lie within its last
 history_tokens are repeated before the new ones. Only new assistant turns carry the loss: their text's span,
 in code points of the formatted window, is in `loss_spans`; a repeated target is masked.
@@ -14,7 +17,7 @@ in code points of the formatted window, is in `loss_spans`; a repeated target is
 The prefix sums have two levels (blocks of BLOCK turns, then turns in a block), so a conversation with very
 many turns is spread over many tasks; a window is assembled from as many turns as its budget admits.
 
-Defined results: null text or role counts as empty; null turn sorts first; rows that share conv_id and turn
+Defined results: null text or role counts as empty; rows without a conv_id are one conversation; null turn sorts first; rows that share conv_id and turn
 are ordered by role and text and all stay; an empty table gives no window; other columns are not read.
 """
 
@@ -40,8 +43,11 @@ def chat_windows(
     turns: DataFrame, window_tokens: int = 2048, history_tokens: int = 256, bytes_per_token: int = 4, turn_tokens: int = 4
 ) -> DataFrame:
     """conv_id, window, formatted and loss_spans (start, length: code points) and new_turns (which turns are new)."""
+    cost = lambda text: (F.ceil(F.octet_length(escape(text)) / bytes_per_token) + turn_tokens).cast("long")
     rows = turns.select(
-        F.col("conv_id").cast("long").alias("conv_id"),
+        # Rows without an id are a conversation too; equi-joins need a value for it.
+        F.coalesce(F.col("conv_id").cast("long"), F.lit(0)).alias("conv_id"),
+        F.col("conv_id").isNotNull().alias("known"),
         F.col("turn").cast("long").alias("turn"),
         F.coalesce("role", F.lit("")).alias("role"),
         F.coalesce("text", F.lit("")).alias("text"),
@@ -49,54 +55,58 @@ def chat_windows(
     sized = rows.select(
         "*",
         F.floor(F.coalesce("turn", F.lit(-1)) / BLOCK).alias("block"),
-        (F.ceil(F.octet_length("text") / bytes_per_token) + turn_tokens).cast("long").alias("cost"),
+        cost(F.col("text")).alias("cost"),
     )
-    blocks = sized.groupBy("conv_id", "block").agg(
+    blocks = sized.groupBy("conv_id", "known", "block").agg(
         F.sum("cost").alias("block_cost"),
         F.count(F.lit(1)).alias("block_rows"),
         F.min(F.when(F.col("role") == "system", F.struct("turn", "role", "text"))).alias("block_system"),
     )
-    earlier = W.partitionBy("conv_id").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
-    whole = W.partitionBy("conv_id")
+    earlier = W.partitionBy("conv_id", "known").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
+    whole = W.partitionBy("conv_id", "known")
     starts = blocks.select(
-        "conv_id", "block",
+        "conv_id", "known", "block",
         F.coalesce(F.sum("block_cost").over(earlier), F.lit(0)).alias("cost_before"),
         F.coalesce(F.sum("block_rows").over(earlier), F.lit(0)).alias("rows_before"),
         F.min("block_system").over(whole).alias("system"),
     )
-    inside = W.partitionBy("conv_id", "block").orderBy("turn", "role", "text")
+    inside = W.partitionBy("conv_id", "known", "block").orderBy("turn", "role", "text")
     running = inside.rowsBetween(W.unboundedPreceding, W.currentRow)
-    placed = sized.join(starts, ["conv_id", "block"]).select(
-        "conv_id", "role", "text", "system",
+    placed = sized.join(starts, ["conv_id", "known", "block"]).select(
+        "conv_id", "known", "role", "text", "system",
         (F.col("rows_before") + F.row_number().over(inside) - 1).alias("pos"),
         (F.col("cost_before") + F.sum("cost").over(running)).alias("until"),
         F.col("cost"),
         (F.struct("turn", "role", "text") == F.col("system")).alias("same_as_system"),
-    ).withColumn("part", F.floor((F.col("until") - F.col("cost")) / window_tokens))
-    parts = placed.groupBy("conv_id", "part").agg(F.max("until").alias("part_until"))
-    order = W.partitionBy("conv_id").orderBy("part")
+    )
+    room = F.greatest(F.lit(window_tokens - history_tokens) - F.coalesce(cost(F.col("system.text")), F.lit(0)), F.lit(window_tokens // 4))
+    half = F.greatest(F.expr("1L"), F.floor(room / 2))
+    # Turns start at most `half` apart in a stretch, so its last small one ends within `room`; a large one can only be its last.
+    placed = placed.withColumn("part", F.floor((F.col("until") - F.col("cost")) / half) * 2 + (F.col("cost") > half).cast("int"))
+    parts = placed.groupBy("conv_id", "known", "part").agg(F.max("until").alias("part_until"))
+    order = W.partitionBy("conv_id", "known").orderBy("part")
     numbered = parts.select(
-        "conv_id", "part", "part_until",
+        "conv_id", "known", "part", "part_until",
         (F.row_number().over(order) - 1).alias("window"),
         F.lead("part").over(order).isNotNull().alias("has_next"),
     )
-    new = placed.join(numbered, ["conv_id", "part"])
+    new = placed.join(numbered, ["conv_id", "known", "part"])
     repeated = F.col("has_next") & (F.col("part_until") - (F.col("until") - F.col("cost")) <= history_tokens)
     copies = F.array(
         F.struct(F.col("window").alias("window"), F.lit(True).alias("new")),
         F.when(repeated, F.struct((F.col("window") + 1).alias("window"), F.lit(False).alias("new"))),
     )
     shown = new.select(
-        "conv_id", "role", "text", "pos", "system", "same_as_system",
+        "conv_id", "known", "role", "text", "pos", "system", "same_as_system",
         F.explode(F.filter(copies, lambda c: c.isNotNull())).alias("copy"),
-    ).select("conv_id", "role", "text", "pos", "system", "same_as_system", "copy.*")
+    ).select("conv_id", "known", "role", "text", "pos", "system", "same_as_system", "copy.*")
     head = F.concat(F.lit(START), F.replace(F.url_encode("role"), F.lit("+"), F.lit("%20")), F.lit("\n"))
     pieces = shown.select(
-        "conv_id", "window", "pos", "new", "system", "same_as_system",
+        "conv_id", "known", "window", "pos", "new", "system", "same_as_system",
         head.alias("head"), escape(F.col("text")).alias("body"),
         (F.col("new") & (F.col("role") == "assistant")).alias("target"),
     )
-    gathered = pieces.groupBy("conv_id", "window").agg(
+    gathered = pieces.groupBy("conv_id", "known", "window").agg(
         F.sort_array(F.collect_list(F.struct("pos", "new", "head", "body", "target"))).alias("turns"),
         F.first("system").alias("system"),
         F.bool_or("same_as_system").alias("holds_system"),
@@ -122,7 +132,7 @@ def chat_windows(
     )
     flags = F.transform("turns", lambda t: t["new"])
     return gathered.withColumn("lead", lead).select(
-        "conv_id", "window", formatted.alias("formatted"), walk["spans"].alias("loss_spans"),
+        F.when(F.col("known"), F.col("conv_id")).alias("conv_id"), "window", formatted.alias("formatted"), walk["spans"].alias("loss_spans"),
         F.when(F.col("lead") != "", F.concat(F.array(F.lit(False)), flags)).otherwise(flags).alias("new_turns"),
     )
 

@@ -18,8 +18,9 @@ what others repeat, are exchanged, once, by doc_id, for the words beside the run
 
 A word next to a stretch is missed where it repeats another, later occurrence than the one kept of that stretch.
 
-Defined results: null and empty texts have no units; rows without doc_id are left out; rows that share doc_id are one
-document whose units are ranked by place, so exact repeats of a row are not removed by each other; an empty table gives
+Defined results: null and empty texts have no units; a row that shares its doc_id with other rows, or has none, is a document
+of its own by its doc_id and text, and ranks behind all others (row_id: a number from 2^62 on, where others have their doc_id); rows equal in both are one
+document, so exact repeats of a row are not removed by each other; an empty table gives
 an empty result; columns other than doc_id and text are not read, without_spans carries them along.
 """
 
@@ -35,7 +36,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import cut, doc_texts, fresh, maybe_among
-from .words import Words, mix, run_hashes, slices
+from .words import Words, mix, run_hashes, sequence_hashes, slices
 
 LEAST_WORDS, MIN_WORDS = 3, 25
 _STOP = np.zeros(256, bool)
@@ -80,6 +81,18 @@ def code_points(words: Words) -> np.ndarray:
     return np.concatenate(([0], np.cumsum((words.data & 0xC0) != 0x80)))
 
 
+def identified(docs: DataFrame, name: str = "row_id") -> DataFrame:
+    """docs with row_id: the doc_id where it is one row's alone, else a number from 2^62 on made of doc_id and text."""
+    ids = docs.select(F.col("doc_id").cast("long").alias("_id"))
+    several = cut(ids.groupBy("_id").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1 OR _id IS NULL").select("_id"))
+    own = F.col("doc_id").cast("long")
+    if not several.limit(1).count():
+        return docs.withColumn(name, own)
+    made = F.lit(1 << 62) + F.shiftrightunsigned(F.xxhash64(own, F.coalesce("text", F.lit(""))), 2)
+    joined = docs.withColumn("_own", own).join(several.withColumn("_shared", F.lit(True)), F.col("_own").eqNullSafe(F.col("_id")), "left")
+    return joined.withColumn(name, F.when(F.col("_shared"), made).otherwise(F.col("_own"))).drop("_own", "_id", "_shared")
+
+
 def text_units(docs: DataFrame, least_words: int = LEAST_WORDS, size: int = (MIN_WORDS + 1) // 2) -> DataFrame:
     """Every unit that counts and every stretch: digest, doc_id and place (first word, words, whether it is a stretch)."""
 
@@ -91,7 +104,9 @@ def text_units(docs: DataFrame, least_words: int = LEAST_WORDS, size: int = (MIN
                 keep = stop - first >= least_words
                 first, stop = first[keep], stop[keep]
                 found = stretches(words, size)
-                digests = np.concatenate((run_hashes(words.hashes, first, stop), mix(run_hashes(words.hashes, found, found + size) ^ _STRETCH)))
+                sizes = stop - first
+                inside = words.hashes[np.repeat(first - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))]
+                digests = np.concatenate((sequence_hashes(inside, sizes), mix(run_hashes(words.hashes, found, found + size) ^ _STRETCH)))
                 at = np.concatenate((first, found))
                 row = np.searchsorted(words.rows, at, "right") - 1
                 kind = np.concatenate((stop - first << 1, np.full(len(found), size << 1 | 1, np.int64)))
@@ -203,24 +218,33 @@ def located(docs: DataFrame, runs: DataFrame, size: int) -> DataFrame:
 
 
 def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS, least_words: int = LEAST_WORDS) -> DataFrame:
-    """doc_id, start, stop (code points of the text as it was), words and first_doc_id of every span to remove."""
+    """doc_id, start, stop (code points of the text as it was), words, first_doc_id and row_id of every span to remove."""
     size = (min_words + 1) // 2
-    repeats = cut(repeated_units(text_units(docs, least_words, size)))
-    runs = located(docs, runs_of(repeats, min_words, least_words, size), size)
+    known = identified(docs.select("doc_id", "text"))
+    rows = known.select(F.col("row_id").alias("doc_id"), "text")
+    repeats = cut(repeated_units(text_units(rows, least_words, size)))
+    runs = located(rows, runs_of(repeats, min_words, least_words, size), size)
     spans = with_islands(runs).groupBy("doc_id", "island").agg(
         F.min("start").alias("start"), F.max("stop").alias("stop"), (F.max("high") - F.min("low")).cast("long").alias("words"),
         F.min("first_doc_id").alias("first_doc_id"), F.max("counted").alias("counted"), F.bool_or(F.col("counted").isNull()).alias("matched"),
     )
     enough = (F.col("counted") >= min_words) | (F.col("matched") & (F.col("words") >= min_words))
-    return spans.where(enough).select("doc_id", "start", "stop", "words", "first_doc_id")
+    found = spans.where(enough).select(F.col("doc_id").alias("row_id"), "start", "stop", "words", F.col("first_doc_id").alias("first_row_id"))
+    # Only made numbers need to be looked up again.
+    made = known.where(F.col("row_id") >= 1 << 62).select("row_id", F.col("doc_id").cast("long").alias("doc_id")).distinct()
+    named = found.join(made.withColumn("_made", F.lit(True)), "row_id", "left").withColumn("doc_id", F.when(F.col("_made"), F.col("doc_id")).otherwise(F.col("row_id"))).drop("_made")
+    first = made.select(F.col("row_id").alias("first_row_id"), F.col("doc_id").alias("_first"), F.lit(True).alias("_made"))
+    named = named.join(first, "first_row_id", "left").withColumn("first_doc_id", F.when(F.col("_made"), F.col("_first")).otherwise(F.col("first_row_id")))
+    return named.select("doc_id", "start", "stop", "words", "first_doc_id", "row_id")
 
 
 def without_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
     """docs with the spans taken out of text, and removed (start, stop: offsets in the text as it was; with underscores behind
-    its name where docs has such a column). Spans of a doc_id apply to each of its rows; a null text stays null."""
-    removed, key = fresh(docs, "removed"), fresh(docs, "span_doc_id")
-    per_doc = spans.groupBy(F.col("doc_id").alias(key)).agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias(removed))
-    joined = docs.join(per_doc, docs["doc_id"] == per_doc[key], "left").drop(key)
+    its name where docs has such a column). Spans apply to the rows that they were found in; a null text stays null."""
+    removed, key, row = fresh(docs, "removed"), fresh(docs, "span_row_id"), fresh(docs, "row_id")
+    per_row = spans.groupBy(F.col("row_id").alias(key)).agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias(removed))
+    known = identified(docs, row)
+    joined = known.join(per_row, known[row] == per_row[key], "left").drop(key, row)
     stops = F.concat(F.array(F.lit(0)), F.transform(removed, lambda s: s["stop"]))
     begins = F.concat(F.transform(removed, lambda s: s["start"]), F.array(F.length("text")))
     parts = F.zip_with(stops, begins, lambda a, b: F.substring("text", a + 1, b - a))

@@ -13,7 +13,7 @@ are never features.
 
 Defined results: null and empty texts have features of zero and are scored like any text; repeated rows
 repeat their score; labels for unknown documents are ignored, repeated labels for a document count as one, their
-mean; without training rows, or with one class alone, every score is that class's share (0.5 without rows);
+mean; of several rows of a labelled doc_id the one with the least features is learned from; held_out of a null doc_id is false; without training rows, or with one class alone, every score is that class's share (0.5 without rows);
 columns other than doc_id and text (doc_id and quality) are not read.
 """
 
@@ -216,13 +216,18 @@ def fit_additive(
 
 def held_out(doc_id="doc_id"):
     """Whether a row belongs to the fold that training never sees."""
-    return F.pmod(F.crc32(F.col(doc_id).cast("string")), F.lit(4)) == 2
+    return F.coalesce(F.pmod(F.crc32(F.col(doc_id).cast("string")), F.lit(4)) == 2, F.lit(False))
+
+
+def learnable(labels: DataFrame) -> DataFrame:
+    """doc_id and label of what may be learned from."""
+    known = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.avg("quality").alias("label"))
+    return known.where(~held_out())
 
 
 def train(features: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> AdditiveModel:
     """The model from at most about max_rows labelled rows outside the held-out fold."""
-    known = labels.where("quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.avg("quality").alias("label"))
-    rows = features.dropDuplicates(["doc_id"]).join(known, "doc_id").where(~held_out())
+    rows = features.join(learnable(labels), "doc_id").groupBy("doc_id").agg(F.min("features").alias("features"), F.first("label").alias("label"))
     rows = cut(rows.select("doc_id", "features", "label"))
     total = rows.count()
     if total > max_rows:
@@ -256,7 +261,8 @@ def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = THRESH
 
 def keep_quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs, all columns, that score at least threshold; each row is scored where it is."""
-    model = train(feature_rows(docs), labels)
+    texts = doc_texts(docs)
+    model = train(feature_rows(texts.join(learnable(labels).select("doc_id"), "doc_id", "left_semi")), labels)
 
     @F.pandas_udf("double")
     def score(texts):

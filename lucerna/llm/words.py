@@ -1,7 +1,9 @@
 """Words of many texts at once, as numpy arrays over the texts' UTF-8 bytes.
 
-A word is a run of bytes other than ASCII white space; A-Z count as a-z. Words are known by a 64-bit hash: the
-sum of a random number for each byte times a power for its place, mixed. Everything is a few passes over
+A word is a run of bytes other than ASCII white space; A-Z count as a-z. Words are known by a 64-bit hash: its bytes,
+eight at a time, are mixed with their place and summed, and the sum is mixed with the length, so words of up to eight bytes of one length
+never share one. Sequences of any length are hashed in the same way. Only runs of a fixed, small number of words use powers of a base modulo
+2^64, which roll along but which long runs of two alternating words could defeat. Everything is a few passes over
 arrays, a slice of rows at a time.
 """
 
@@ -12,14 +14,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 
 #: Bytes of text in a slice; a longer text is a slice of its own.
 SLICE_BYTES = 1 << 20
 _RANDOM = np.random.Generator(np.random.PCG64(20240229))
-_BYTE = _RANDOM.integers(0, 1 << 64, 256, dtype=np.uint64)
-_BYTE[65:91] = _BYTE[97:123]
 _PLACE = _RANDOM.integers(0, 1 << 64, 16, dtype=np.uint64) | np.uint64(1)
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -44,8 +45,30 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0][:n], _powers[1][:n]
 
 
+def sequence_hashes(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """A hash of each stretch of values, of the given sizes (one at least) one after the other: every value is mixed with its place."""
+    if not len(sizes):
+        return np.zeros(0, np.uint64)
+    first = np.cumsum(sizes) - sizes
+    place = (np.arange(len(values)) - np.repeat(first, sizes)).astype(np.uint64)
+    mixed = mix(values + mix(place * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1)))
+    return mix(np.add.reduceat(mixed, first) + sizes.astype(np.uint64) * np.uint64(0xD1B54A32D192ED03))
+
+
+def byte_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A hash of each run of bytes data[start:end] (one byte at least), from its numbers of eight bytes."""
+    sizes = -(-(ends - starts) // 8)
+    padded = np.concatenate((data, np.zeros(8, np.uint8)))
+    eights = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
+    at = np.repeat(starts - 8 * (np.cumsum(sizes) - sizes), sizes) + 8 * np.arange(int(sizes.sum()))
+    left = np.minimum(8, np.repeat(ends, sizes) - at)
+    values = eights[at] & (np.uint64(0xFFFFFFFFFFFFFFFF) >> ((8 - left) * 8).astype(np.uint64))
+    lengths = (ends - starts).astype(np.uint64)
+    return mix(sequence_hashes(values, sizes) + lengths * np.uint64(0xA0761D6478BD642F))
+
+
 def run_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A hash of each run values[start:end] that depends on order, not on where the run is."""
+    """A hash of each run values[start:end] of few values that depends on order, not on where the run is."""
     if not len(starts):
         return np.zeros(0, np.uint64)
     up, down = powers(len(values) + 1)
@@ -73,7 +96,7 @@ def find_words(data: np.ndarray, offsets: np.ndarray) -> Words:
     border[offsets] = True
     starts = np.flatnonzero(solid[1:] & (~solid[:-1] | border))
     ends = np.flatnonzero(solid[:-1] & (~solid[1:] | border))
-    hashes = run_hashes(_BYTE[data], starts, ends)
+    hashes = byte_hashes(_LOWER[data], starts, ends)
     return Words(data, offsets, starts, ends, hashes, np.searchsorted(starts, offsets))
 
 
@@ -103,17 +126,9 @@ def shingle_hashes(words: Words, size: int = 5) -> tuple[np.ndarray, np.ndarray]
     out, rows = mix(out[inside]), row_of[:total][inside]
     short = np.flatnonzero((counts > 0) & (counts < size))
     if len(short):
-        whole = run_hashes(h, words.rows[short], words.rows[short + 1])
+        sizes = counts[short]
+        first = words.rows[short]
+        whole = sequence_hashes(h[np.repeat(first - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))], sizes)
         at = np.searchsorted(rows, short)
         out, rows = np.insert(out, at, whole), np.insert(rows, at, short)
     return out, rows
-
-
-def shingle_sets(texts: pa.Array, size: int = 5) -> Iterator[np.ndarray]:
-    """The distinct shingle hashes of each text, sorted; nulls and texts without words have none."""
-    texts = pc.fill_null(texts, "")
-    for start, end, words in slices(texts):
-        hashes, rows = shingle_hashes(words, size)
-        at = np.searchsorted(rows, np.arange(end - start + 1))
-        for a, b in zip(at[:-1], at[1:], strict=True):
-            yield np.unique(hashes[a:b])
