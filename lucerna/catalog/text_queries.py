@@ -9,7 +9,7 @@ from ..functions import text as t
 from ..functions import words as w
 from ..functions.udfs import decomposed as with_marks_apart
 from ..functions.udfs import stem_terms, xxh32
-from ..operators.chunking import chunk_pages, fixed_chunks, line_blocks
+from ..operators.chunking import chunk_pages, fixed_chunks, line_blocks, register_chunker
 from ..operators import retrieval as r
 from ..operators.retrieval import lexed, route
 from ..sources import files, urls
@@ -459,6 +459,21 @@ def chk01b_fixed_chunks(spark, d):
     return rows.select("doc_id", "chunk_index", "character_offset", n.text_hash(F.col("chunk")).alias("digest"))
 
 
+def even_steps(text: str, size: int, overlap: int) -> list:
+    """A caller's own strategy: windows at fixed steps."""
+    step = max(1, size - overlap)
+    last = max((len(text) - overlap - 1) // step, 0) * step
+    return [(at, text[at : at + size], None) for at in range(0, last + 1, step)] if text else []
+
+
+@query("SELECT doc_id, (s // 448)::INT AS chunk_no, s::INT AS character_offset, sha256(substring(text, s + 1, 512)) AS digest FROM (SELECT doc_id, text, unnest(range(0, greatest((length(text) - 65) // 448, 0) * 448 + 1, 448)) AS s FROM documents WHERE length(text) > 0)")
+def udf01_table_function(spark, d):
+    """A strategy of the caller's own, registered by name and called from SQL."""
+    register_chunker(spark, "even_steps", even_steps)
+    table(spark, d, "documents").createOrReplaceTempView("chunked_documents")
+    return spark.sql("SELECT d.doc_id, c.chunk_no, c.character_offset, sha2(c.text, 256) AS digest FROM chunked_documents d, LATERAL even_steps(d.text, 512, 64) c")
+
+
 def _chunked(name: str, strategy: str):
     def run(spark, d):
         pages = table(spark, d, "documents").select("doc_id", F.lit(1).alias("page"), "text")

@@ -8,6 +8,7 @@ from ..functions import numbers as n
 from ..operators import evidence as e
 from ..operators import retrieval as r
 from ..operators import verify as v
+from ..operators.compress import compress
 from ..session import kept
 from . import query, table
 from .retrieval_queries import kept_index
@@ -102,3 +103,13 @@ def ret09_claim_retrieval(spark, d):
     half = lambda claim, text: e.lexical_judge(claim, text, 0.3)
     changes = kept(v.rejudged(judged, searched(spark, d, kept_index(spark, d)), seen, docs, half))
     return v.summary_by_delta(e.claim_summary(judged), changes).select("query_id", "supported", "contradicted", "neutral", "total", F.round("reliability", 9).alias("reliability"))
+
+
+@query()
+def gen02_compressed_context(spark, d):
+    """Every benchmark question with the documents that BM25 finds for it, within 2000 characters."""
+    items = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    asked = r.lexed(items, "query", is_query=True).select("query_id", "terms")
+    found = kept_index(spark, d).search(asked, 5).join(table(spark, d, "documents").select("doc_id", "text"), "doc_id")
+    out = compress(items, found.select("query_id", F.col("sparse_rank").alias("segment"), "text"), 2000)
+    return out.select("query_id", n.text_hash(F.col("context")).alias("digest"), F.length("context").alias("chars"), F.array_join(F.col("segments").cast("array<string>"), ",").alias("segments"), "covered")

@@ -9,9 +9,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult
 
 from ..functions.text import normalize, strip, zone
 from ..session import DEFAULTS
@@ -99,29 +101,19 @@ def _inner(part: str, size: int, overlap: int) -> list[Piece]:
     return sliding(part.strip(), size, overlap)
 
 
-def is_table_line(line: str) -> bool:
-    return "|" in line or (len(line.strip()) > 20 and line.strip().count(" ") > 3)
-
-
 def layout(text: str, size: int, overlap: int) -> list[Piece]:
-    """CHK-04: runs of table-like or prose lines, each through the sliding chunker; blank lines join the run before."""
+    """CHK-04: runs of lines of one kind (see line_blocks), each through the sliding chunker; blank lines join the run before."""
     runs: list[list] = []
     at = 0
     for line in text.split("\n"):
-        end = at + len(line)
-        if not line.strip():
-            if runs:
-                runs[-1][2] = end
-        elif runs and runs[-1][0] == is_table_line(line):
+        end, solid = at + len(line), line.strip()
+        columns = "|" in solid or (len(solid) > 20 and solid.count(" ") > 3)
+        if runs and (not solid or runs[-1][0] == columns):
             runs[-1][2] = end
-        else:
-            runs.append([is_table_line(line), at, end])
+        elif solid:
+            runs.append([columns, at, end])
         at = end + 1
-    return [
-        (a + start, piece, "table" if table else None)
-        for table, a, b in runs
-        for start, piece, _ in _inner(text[a:b], size, overlap)
-    ]
+    return [(a + start, piece, "table" if columns else None) for columns, a, b in runs for start, piece, _ in _inner(text[a:b], size, overlap)]
 
 
 STRATEGIES: dict[str, Callable[[str, int, int], list[Piece]]] = {
@@ -160,6 +152,31 @@ def chunk_pages(
     )
 
 
+def register_chunker(spark: SparkSession, name: str, strategy: Callable[[str, int, int], list[Piece]]) -> None:
+    """UDF-01: a strategy as a table function, for SQL: `SELECT ... FROM pages, LATERAL name(text, 512, 64)`.
+
+    Its rows are chunk_no (from 0), character_offset, zone (null where the strategy names none) and text. Size and overlap must be
+    constants, size above zero: the query is refused otherwise before it runs. A null text has no chunks.
+    """
+    result = T.StructType().add("chunk_no", T.IntegerType()).add("character_offset", T.IntegerType()).add("zone", T.StringType()).add("text", T.StringType())
+
+    class Chunker:
+        @staticmethod
+        def analyze(text: AnalyzeArgument, size: AnalyzeArgument, overlap: AnalyzeArgument) -> AnalyzeResult:
+            if not isinstance(text.dataType, T.StringType):
+                raise ValueError(f"{name}: text must be a string")
+            for label, argument, least in (("size", size, 1), ("overlap", overlap, 0)):
+                if not argument.isConstantExpression or not isinstance(argument.value, int) or argument.value < least:
+                    raise ValueError(f"{name}: {label} must be a constant of {least} or more")
+            return AnalyzeResult(schema=result)
+
+        def eval(self, text, size, overlap):
+            for number, (start, piece, zone_name) in enumerate(strategy(text, size, overlap) if text is not None else ()):
+                yield number, start, zone_name, piece
+
+    spark.udtf.register(name, F.udtf(Chunker))
+
+
 def fixed_chunks(docs: DataFrame, text: Column, size: int = DEFAULTS.chunk_size, overlap: int = DEFAULTS.chunk_overlap) -> DataFrame:
     """CHK-01b: windows at fixed steps, without regard to words: columns alone."""
     step = size - overlap if size > overlap else max(1, size)
