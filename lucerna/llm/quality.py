@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, doc_texts
+from .common import cut, doc_texts, maybe_among
 from .words import Words, slices
 
 THRESHOLD, MAX_ROWS = 0.7, 20_000
@@ -261,8 +261,9 @@ def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = THRESH
 
 def keep_quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs, all columns, that score at least threshold; each row is scored where it is."""
-    texts = doc_texts(docs)
-    model = train(feature_rows(texts.join(learnable(labels).select("doc_id"), "doc_id", "left_semi")), labels)
+    # A bitmap tells the labelled rows apart where they are: only features are joined.
+    some = maybe_among(doc_texts(docs), ["doc_id"], learnable(labels).select("doc_id"), "__among").where("__among")
+    model = train(feature_rows(some), labels)
 
     @F.pandas_udf("double")
     def score(texts):
