@@ -17,24 +17,20 @@ from ..functions import text as t
 from ..operators import evidence as e
 from ..operators import retrieval as r
 from ..operators.chunking import chunk_pages
-from ..session import DEFAULTS, Defaults
+from ..session import DEFAULTS, Defaults, kept
 
 
 @dataclass
 class Index:
-    """IDX-01: what indexing gives: chunks with ids and hashes, postings, vectors."""
+    """IDX-01: what indexing gives: chunks with ids and hashes, postings and how many chunks have some, vectors."""
 
     chunks: DataFrame
     postings: DataFrame
+    total: int
     vectors: DataFrame
     documents: DataFrame
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """df worked out once: in the shared checkpoint folder if there is one, else in the executors' storage."""
-    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.persist()
-
-
 def build_index(pages: DataFrame, documents: DataFrame, strategy: str = "sliding_window", d: Defaults = DEFAULTS, dim: int = 64) -> Index:
     """pages: doc_id, page, text; documents: doc_id, filename, version, effective_from, effective_until."""
     chunks = chunk_pages(pages.select("doc_id", "page", "text"), strategy, d.chunk_size, d.chunk_overlap)
@@ -47,7 +43,7 @@ def build_index(pages: DataFrame, documents: DataFrame, strategy: str = "sliding
     named = chunks.join(documents.select("doc_id", "filename"), "doc_id", "left")
     prefixed = t.embedding_text(F.coalesce("filename", F.lit("unknown_doc")), F.col("zone"), F.col("text"))
     vectors = kept(named.select("chunk_id", "doc_id", r.hashed_embedding(prefixed, dim).alias("vector")))
-    return Index(chunks, postings, vectors, documents)
+    return Index(chunks, postings, postings.select("chunk_id").distinct().count(), vectors, documents)
 
 
 def analyse(queries: DataFrame, index: Index, reference, d: Defaults = DEFAULTS, dim: int = 64, k: int = 20) -> DataFrame:
@@ -81,8 +77,9 @@ def one_round(queries: DataFrame, index: Index, reference, d: Defaults, dim: int
         "query_id", "query_used", F.coalesce(F.col("routed.reference_time"), reference).alias("at"), F.posexplode("routed.sub_queries").alias("sub_query", "sub"),
     ).withColumn("branch", F.xxhash64("query_id", "sub_query"))
     asked = r.lexed(subs.select(F.col("branch").alias("query_id"), "sub"), "sub", is_query=True).withColumn("query_vector", r.hashed_embedding(F.col("sub"), dim))
+    asked = kept(asked)
     dense = r.dense_search(asked, index.vectors, k)
-    sparse = r.sparse_search(asked.select("query_id", "terms"), index.postings, k)
+    sparse = r.sparse_search(asked.select("query_id", "terms"), index.postings, k, total=index.total)
     fused = r.fuse(dense, sparse, d.rrf_k).join(index.chunks, "chunk_id").withColumnRenamed("query_id", "branch")
     fused = fused.join(subs.select("branch", "query_id", "sub_query", "query_used", "at"), "branch")
     valid = r.valid_at(fused, index.documents, F.col("at"))
