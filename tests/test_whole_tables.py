@@ -12,6 +12,7 @@ import pytest
 from lucerna import catalog
 from lucerna.functions import text as t
 from lucerna.functions import words as w
+from lucerna.functions.udfs import porter_stem
 
 DOCS = [
     (1, "The bank lends money to the small town."), (2, "Le café de la ville prête de l'argent à la banque."), (3, None), (4, ""),
@@ -35,7 +36,7 @@ def rows(spark, folder, name):
     return [tuple(r) for r in catalog.QUERIES[name](spark, folder).collect()]
 
 
-def plain_tokens(text, is_query=False):
+def plain_words(text, is_query=False):
     low = unicodedata.normalize("NFKD", text or "").lower()
     for short, long in w.CONTRACTIONS:
         low = low.replace(short, long)
@@ -43,6 +44,10 @@ def plain_tokens(text, is_query=False):
     return [x for x in found if x not in set(t.stopwords(is_query)) and (len(x) > 1 or x.isdigit())]
 
 
+def plain_tokens(text, is_query=False):
+    return [porter_stem(x) for x in plain_words(text, is_query)]
+
+
 def digest(items):
     return hashlib.sha256(" ".join(items).encode()).hexdigest()
 
@@ -76,7 +81,7 @@ def test_terms_of_all_documents(spark, folder):
     bigrams = {i: ["_".join(p) for p in zip(plain_tokens(x), plain_tokens(x)[1:], strict=False)] for i, x in ITEMS}
     assert sorted(rows(spark, folder, "str04_bigrams")) == sorted((i, len(x), digest(x)) for i, x in bigrams.items())
     counts = plain_counts()
-    assert {(i, x): c for i, x, c in rows(spark, folder, "agg09_term_counts")} == counts and (2, "cafe") in counts
+    assert {(i, x): c for i, x, c in rows(spark, folder, "agg09_term_counts")} == counts and (2, porter_stem("cafe")) in counts and (6, "monei") in counts
     assert dict(rows(spark, folder, "agg10_document_frequencies")) == Counter(x for _, x in counts)
     assert {(i, x): v for i, x, v in rows(spark, folder, "mat05_sparse_weights")} == pytest.approx(plain_weights(), abs=1e-8)
 
@@ -86,7 +91,7 @@ def test_bm25_over_all_rows(spark, folder):
     assert {k: v[1] for k, v in got.items()} == {k: v[1] for k, v in want.items()} and (2, 2) in got and (3, 5) in got
     assert all(got[k][0] == pytest.approx(want[k][0], abs=1e-8) for k in want)
     texts, items = dict(DOCS), dict(ITEMS)
-    share = lambda q, i: len(set(plain_tokens(items[q], True)) & set(plain_tokens(texts[i]))) / len(set(plain_tokens(items[q], True)))
+    share = lambda q, i: len(set(plain_words(items[q], True)) & set(plain_words(texts[i]))) / len(set(plain_words(items[q], True)))
     assert {(q, i): s for q, i, s, _ in rows(spark, folder, "ret07_rerank")} == pytest.approx({k: share(*k) for k in want}, abs=1e-6)
 
 
@@ -109,6 +114,7 @@ def test_whole_texts(spark, tmp_path):
     spark.createDataFrame(WHOLE_TURNS, "conv_id long, turn int, role string, text string").write.parquet(f"{folder}/conversations.parquet")
     spark.createDataFrame([(100, "x" * 60), (101, " short "), (102, None)], "doc_id long, text string").write.parquet(f"{folder}/documents.parquet")
     assert {(c, k) for c, k, x in rows(spark, folder, "fil16_instruction_echo") if x} == {(1, 1)}
+    # Fewer than twelve words make no claim; fewer than five are a stub.
     assert {(c, k) for c, k, x in rows(spark, folder, "fil17_stubs") if x} == {(3, 1)}
     triples = {(c, k): x for c, k, *x in rows(spark, folder, "str17_triples")}
     assert triples[2, 0] == ["The long clause at the very end of this contract", "covers", "all damage"]
@@ -129,9 +135,9 @@ def plain_ranks():
         size = math.sqrt(sum(v * v for v in out))
         return [v / size for v in out] if size else out
 
-    ranks, vectors = {}, {i: vector(plain_tokens(x)) for i, x in DOCS}
+    ranks, vectors = {}, {i: vector(plain_words(x)) for i, x in DOCS}
     for q, text in ITEMS:
-        own = vector(plain_tokens(text))
+        own = vector(plain_words(text))
         order = sorted(vectors, key=lambda i: (-round(sum(a * b for a, b in zip(own, vectors[i], strict=True)), 9), i))
         ranks |= {(q, i): k for k, i in enumerate(order, 1)}
     return ranks
