@@ -29,4 +29,4 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def load_all() -> None:
-    from . import record_queries, retrieval_queries, stream_queries, text_queries, verification_queries  # noqa: F401
+    from . import record_queries, retrieval_queries, source_queries, stream_queries, text_queries, verification_queries  # noqa: F401

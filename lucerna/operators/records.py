@@ -238,3 +238,8 @@ def moved_image_ref(ref: Column, kb_id: Column, doc_id: Column) -> Column:
     """SNK-10: the reference under another base and document."""
     valid = ref.rlike(r"^[0-9a-fA-F]{24}/[0-9a-fA-F]{24}/p[0-9]+\.png$")
     return F.when(valid, F.concat(kb_id, F.lit("/"), doc_id, F.lit("/"), F.substring_index(ref, "/", -1)))
+
+
+def kb_documents(documents: DataFrame, order: str = "created_at", tie: str = "id", kb: str = "kb_id") -> DataFrame:
+    """KB-05: documents with their place in the list of their knowledge base, newest first, ties by id; rows without a time come last."""
+    return documents.withColumn("place", F.row_number().over(W.partitionBy(kb).orderBy(F.desc_nulls_last(order), tie)))
