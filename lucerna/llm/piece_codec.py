@@ -61,7 +61,8 @@ def build_tokenizer(model: dict):
     if model["charsmap"]:
         steps.append(normalizers.Precompiled(model["charsmap"]))
     if model["squeeze"]:
-        steps += [normalizers.Strip(), normalizers.Replace(Regex(" {2,}"), " ")]
+        # Spaces alone: other white space stays.
+        steps += [normalizers.Replace(Regex(r"\A +| +\z"), ""), normalizers.Replace(Regex(" {2,}"), " ")]
     if model["dummy_prefix"]:
         steps.append(normalizers.Prepend(MARK))
     if model["escape"]:
@@ -179,7 +180,9 @@ def decode_documents(coded: DataFrame, model_path: str) -> DataFrame:
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = PieceCodec(model_path, verify=False)
         for batch in batches:
-            rows = [x or [] for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(codec.decode(rows), pa.string())], names=["doc_id", "text"])
+            # Slices of rows with about as many ids as SLICE_BYTES has bytes, one row at least.
+            for start, end in byte_slices(pc.fill_null(pc.list_value_length(batch.column(1)), 0).to_pylist()):
+                rows = [x or [] for x in batch.column(1).slice(start, end - start).to_pylist()]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, end - start), pa.array(codec.decode(rows), pa.string())], names=["doc_id", "text"])
 
     return coded.selectExpr("cast(doc_id as long) doc_id", "ids").mapInArrow(decode, "doc_id long, text string")
