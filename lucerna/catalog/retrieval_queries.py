@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import numbers as n
 from ..functions import text as t
@@ -553,6 +556,30 @@ def mat11_snippet_metrics(spark, d):
     """
 )
 def agg06_eval_aggregate(spark, d):
+    out = ev.aggregate_scores(_eval_scores(spark, d), "query_class")
+    return out.select("query_class", "queries", *[F.round(c, 9).alias(c) for c in out.columns if c not in ("query_class", "queries")])
+
+
+@query(
+    f"""
+    WITH {SQL_GOLD}, r AS (SELECT vec_id AS query_id, label % 3 AS query_class, CASE WHEN vec_id % 60 = 0 THEN 'ABSTAINED' ELSE 'completed' END AS status, CASE WHEN vec_id % 40 = 0 THEN NULL ELSE 0.5 END AS cit,
+        vec_id % 6 AS s, vec_id % 4 AS c, vec_id % 6 + vec_id % 4 + 1 AS t FROM embeddings WHERE vec_id % 20 = 0)
+    SELECT query_class, count(*) AS queries, round(avg(recall), 9) AS recall, round(avg(hit), 9) AS hit, round(avg(rr), 9) AS rr, round(avg(ndcg), 9) AS ndcg, round(sum(s) / sum(t), 9) AS support_rate,
+        round(sum(c) / sum(t), 9) AS contradiction_rate, round(avg(cit), 9) AS citation_correctness, round(avg((status = 'ABSTAINED')::INT), 9) AS abstention_rate, round(avg((lower(status) = 'completed')::INT), 9) AS outcome_match_rate
+    FROM r JOIN m USING (query_id) GROUP BY 1
+    """
+)
+def snk08_eval_results(spark, d):
+    """The run written as lines of JSON; its classes as they are read again."""
+    scores = _eval_scores(spark, d)
+    place = f"{shared_folder(spark)}/eval-results-{uuid.uuid4().hex}"
+    ev.results_lines(scores, "query_class", {"k": "8"}).write.text(place)
+    out = ev.aggregate_scores(scores, "query_class")
+    read = spark.read.schema(T.StructType([T.StructField("kind", T.StringType()), T.StructField("summary", out.schema)])).json(place).where("kind = 'class'").select("summary.*")
+    return read.select("query_class", "queries", *[F.round(c, 9).alias(c) for c in out.columns if c not in ("query_class", "queries")])
+
+
+def _eval_scores(spark, d):
     k = F.col("vec_id")
     base = table(spark, d, "embeddings").where("vec_id % 20 = 0")
     runs = base.select(
@@ -564,6 +591,4 @@ def agg06_eval_aggregate(spark, d):
         F.lit(0.0).alias("contradiction_rate"), F.lit(0.0).alias("reliability"),
     )
     snippets = base.select(k.alias("query_id"), F.lit(0.0).alias("snippet_recall"), F.lit(0.0).alias("snippet_mrr"))
-    scores = ev.query_scores(_ranking(spark, d), snippets, claims.drop("contradiction_rate").withColumn("contradiction_rate", F.lit(0.0)), runs)
-    out = ev.aggregate_scores(scores, "query_class")
-    return out.select("query_class", "queries", *[F.round(c, 9).alias(c) for c in out.columns if c not in ("query_class", "queries")])
+    return ev.query_scores(_ranking(spark, d), snippets, claims.drop("contradiction_rate").withColumn("contradiction_rate", F.lit(0.0)), runs)

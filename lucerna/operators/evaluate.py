@@ -138,3 +138,14 @@ def dashboard(runs: DataFrame, claims: DataFrame, *by: str) -> DataFrame:
     left = runs.groupBy(*by).agg(F.avg("reliability").alias("mean_reliability"), F.count("reliability").alias("scored_runs"))
     right = claims.groupBy(*by).agg(F.count(F.lit(1)).alias("claims"), F.avg((F.upper("state") == "SUPPORTED").cast("double")).alias("supported_share"))
     return left.join(right, list(by), "full_outer") if by else left.crossJoin(right)  # one row each
+
+
+def results_lines(scores: DataFrame, by: str, config: dict[str, str]) -> DataFrame:
+    """SNK-08: an evaluation run as lines of JSON: kind `run` with its configuration, `class` with the aggregate of each class, `query` with each score row.
+
+    Lines are written by as many tasks as have rows; a reader tells them apart by kind.
+    """
+    line = lambda kind, row: F.to_json(F.struct(F.lit(kind).alias("kind"), row), {"ignoreNullFields": "false"}).alias("line")
+    of = lambda df, kind, name: df.select(line(kind, F.struct(*df.columns).alias(name)))
+    run = scores.sparkSession.range(1).select(line("run", F.create_map(*[F.lit(x) for pair in sorted(config.items()) for x in pair]).alias("config")))
+    return run.unionByName(of(aggregate_scores(scores, by), "class", "summary")).unionByName(of(scores, "query", "scores"))
