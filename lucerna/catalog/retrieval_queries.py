@@ -108,6 +108,17 @@ def idx01_changed_index(spark, d):
     return found.select(F.col("query_id").alias("item_id"), "doc_id", F.col("sparse_score").alias("score"), F.col("sparse_rank").alias("rk"))
 
 
+@query(f"WITH {words_of('benchmark', 'item_id')} SELECT item_id, len(words)::BIGINT AS n_terms FROM w_list")
+def snk03_recreated_index(spark, d):
+    """An index that was filled, dropped and made again holds what it was given last."""
+    index = KeptIndex(spark, f"{shared_folder(spark)}/lucerna-index/dropped-{uuid.uuid4().hex}", "item_id", buckets=2)
+    items = table(spark, d, "benchmark").select("item_id", "text")
+    index.put(items.select((F.col("item_id") + 1_000_000).alias("item_id"), "text"))
+    index.drop()
+    index.put(items)
+    return index.entries()
+
+
 # ---- dense ----
 
 SQL_DENSE = """

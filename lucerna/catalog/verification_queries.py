@@ -9,6 +9,7 @@ from ..operators import evidence as e
 from ..operators import retrieval as r
 from ..operators import verify as v
 from ..operators.compress import compress
+from ..plans.guard import BudgetSpent, guarded
 from ..session import kept
 from . import query, table
 from .retrieval_queries import kept_index
@@ -113,3 +114,32 @@ def gen02_compressed_context(spark, d):
     found = kept_index(spark, d).search(asked, 5).join(table(spark, d, "documents").select("doc_id", "text"), "doc_id")
     out = compress(items, found.select("query_id", F.col("sparse_rank").alias("segment"), "text"), 2000)
     return out.select("query_id", n.text_hash(F.col("context")).alias("digest"), F.length("context").alias("chars"), F.array_join(F.col("segments").cast("array<string>"), ",").alias("segments"), "covered")
+
+
+@query(
+    """
+    WITH q AS (SELECT DISTINCT conv_id AS query_id FROM conversations), n AS (SELECT unnest(['retrieve', 'search', 'write', 'judge', 'count']) AS node, unnest(['outage', 'timeout', 'budget', 'failed', 'completed']) AS state)
+    SELECT query_id, node, 'started' AS event, 'running' AS state, 0 AS attempt FROM q, n UNION ALL
+    SELECT query_id, node, CASE state WHEN 'completed' THEN 'finished' ELSE 'failed' END, state, CASE state WHEN 'outage' THEN 2 WHEN 'completed' THEN 0 ELSE 1 END FROM q, n
+    """
+)
+def rec06_guarded_stages(spark, d):
+    """Every conversation through five stages, of which four fail, each in a way of its own."""
+    rows = table(spark, d, "conversations")
+    questions = kept(rows.select(F.col("conv_id").alias("query_id"), F.lit(0).alias("attempt")).distinct())
+
+    def raises(error):
+        def stage(_):
+            raise error
+
+        return stage
+
+    counts = lambda q: q.join(rows.groupBy(F.col("conv_id").alias("query_id")).count(), "query_id")
+    # A failure inside the executors is a stage's failure too.
+    broken = lambda q: q.select("query_id", F.raise_error(F.lit("no verdict")).alias("x"))
+    stages = {"retrieve": raises(r.RetrievalOutage("down")), "search": raises(TimeoutError("late")), "write": raises(BudgetSpent("spent")), "judge": broken, "count": counts}
+    events = None
+    for node, stage in stages.items():
+        _, said = guarded(questions, node, stage)
+        events = said if events is None else events.unionByName(said)
+    return events

@@ -154,6 +154,11 @@ class KeptIndex:
         number = self._next()
         self._write(number, self.postings().drop("bucket"), self.entries(), None, True)
 
+    def drop(self) -> None:
+        """SNK-03: takes the whole index away; nothing happens where there is none."""
+        hadoop = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        hadoop.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+
     # ---- search ----
 
     def search(self, queries: DataFrame, k: int = DEFAULTS.sparse_top_k) -> DataFrame:
