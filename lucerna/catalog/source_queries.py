@@ -81,3 +81,18 @@ def fil08_verified(spark, d):
 @query("SELECT conv_id, turn, sha256(coalesce(role, '') || coalesce(text, '')) AS digest FROM conversations")
 def jsn04_flat_content(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", n.text_hash(t.flatten_content(F.array("role", F.lit(None), "text"))).alias("digest"))
+
+
+@query(
+    f"""
+    SELECT conv_id, key, CASE key WHEN 'reranker_enabled' THEN (conv_id % 2 = 0)::VARCHAR WHEN 'reranker_model' THEN CASE WHEN conv_id % 2 = 0 THEN 'm' || (conv_id % 7)::VARCHAR END
+        WHEN 'fusion_top_k' THEN (10 + conv_id % 5)::VARCHAR WHEN 'max_recovery_attempts' THEN '2' END AS value
+    FROM (SELECT DISTINCT conv_id FROM conversations), (SELECT unnest({rec.SNAPSHOT_KEYS}) AS key)
+    """
+)
+def map01_config_snapshots(spark, d):
+    """A run for each conversation, with what its configuration was."""
+    k = F.col("conv_id")
+    config = {"reranker_enabled": k % 2 == 0, "reranker_model": F.concat(F.lit("m"), (k % 7).cast("string")), "fusion_top_k": 10 + k % 5, "max_recovery_attempts": F.lit(2), "unknown": F.lit("x")}
+    runs = table(spark, d, "conversations").select("conv_id").distinct().withColumn("config", rec.config_snapshot(config))
+    return runs.select("conv_id", F.explode("config").alias("key", "value"))

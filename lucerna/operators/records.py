@@ -243,3 +243,18 @@ def moved_image_ref(ref: Column, kb_id: Column, doc_id: Column) -> Column:
 def kb_documents(documents: DataFrame, order: str = "created_at", tie: str = "id", kb: str = "kb_id") -> DataFrame:
     """KB-05: documents with their place in the list of their knowledge base, newest first, ties by id; rows without a time come last."""
     return documents.withColumn("place", F.row_number().over(W.partitionBy(kb).orderBy(F.desc_nulls_last(order), tie)))
+
+
+# What is recorded of the configuration with every run.
+SNAPSHOT_KEYS = [
+    "config_version", "llm_provider", "llm_model", "embedding_model", "embedding_version", "embedding_dimensionality", "verification_provider", "verification_model",
+    "reranker_enabled", "reranker_model", "fusion_method", "fusion_top_k", "max_fanout_sub_queries", "ocr_enabled", "ocr_store_page_images", "sparse_k1", "sparse_b",
+    "sparse_avg_len_tokens", "max_context_chunks", "abstain_below", "max_recovery_attempts", "max_claim_retrievals",
+]
+
+
+def config_snapshot(config: dict[str, Column]) -> Column:
+    """MAP-01: the recorded keys as a flat map of strings; what isn't configured is null, and so is the reranker's model without a reranker."""
+    value = {key: config.get(key, F.lit(None)).cast("string") for key in SNAPSHOT_KEYS}
+    value["reranker_model"] = F.when(value["reranker_enabled"] == "true", value["reranker_model"])
+    return F.map_from_entries(F.array(*[F.struct(F.lit(key).alias("key"), value[key].alias("value")) for key in SNAPSHOT_KEYS]))
