@@ -12,7 +12,9 @@ from ..operators.compress import compress
 from ..plans.guard import BudgetSpent, guarded
 from ..session import kept
 from . import query, table
+from .lexical_sql import SQL_STRIP
 from .retrieval_queries import kept_index
+from .text_queries import SQL_TIDY
 
 
 def _answers(spark, d):
@@ -143,3 +145,15 @@ def rec06_guarded_stages(spark, d):
         _, said = guarded(questions, node, stage)
         events = said if events is None else events.unionByName(said)
     return events
+
+
+_said = "'<think>hm' || text || '</think>' || text || ' [Segment 9] [Segment 2] ABSTAIN.'"
+_thought = rf"regexp_replace({SQL_STRIP.format(_said)}, '(?is)<\s*think\b[^>]*>.*?<\s*/\s*think\s*>', '', 'g')"
+_kept = SQL_STRIP.format(rf"regexp_replace({SQL_STRIP.format(_thought)}, '(?:(?:^|\s+)ABSTAIN\.*)+$', '')")
+
+
+@query(f"SELECT conv_id, turn, sha256({SQL_TIDY.format(f'''replace({_kept}, '[Segment 9]', '')''')}) AS digest FROM conversations")
+def gen01_clean_answers(spark, d):
+    """Every turn as a model's answer with its thoughts, a citation of what was not served, and a doubt at the end."""
+    answer = F.concat(F.lit("<think>hm"), "text", F.lit("</think>"), "text", F.lit(" [Segment 9] [Segment 2] ABSTAIN."))
+    return table(spark, d, "conversations").select("conv_id", "turn", n.text_hash(e.clean_answer(answer, F.lit(3))).alias("digest"))

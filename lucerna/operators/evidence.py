@@ -217,7 +217,10 @@ def extractive_answer(served: DataFrame, most: int = 3) -> DataFrame:
 
 def clean_answer(answer: Column, served: Column) -> Column:
     """GEN-01's cleaning: final section, reasoning, trailing ABSTAIN, citations of what wasn't served."""
-    return t.strip_invalid_citations(t.strip_abstain(t.strip_think(t.final_answer(answer))), served)["text"]
+    # Each step once: every one of them uses what it is given several times.
+    for step in (t.final_answer, t.strip_think, t.strip_abstain):
+        answer = t.bound(answer, step)
+    return t.bound(answer, lambda x: t.strip_invalid_citations(x, served)["text"])
 
 
 # ---- recovery ----
