@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import numbers as n
 from ..session import DEFAULTS
+from .retrieval import dense_search
 
 # ---- filters ----
 
@@ -180,12 +181,12 @@ def promote(rows: DataFrame, live: str, snapshot: str) -> DataFrame:
 def cache_lookup(queries: DataFrame, cache: DataFrame, now: Column, similarity: float = DEFAULTS.cache_similarity, hours: int = DEFAULTS.cache_hours) -> DataFrame:
     """RET-11: query_id and the most similar live entry of the same base and model, if similar enough.
 
-    queries: query_id, kb_id, model, query_vector; cache: entry_id, kb_id, model, vector, created_at.
+    queries: query_id, kb_id, model, query_vector; cache: entry_id, kb_id, model, vector, created_at. Similarities are rounded to nine places; of equal ones
+    the smallest entry_id. Questions meet entries in blocks inside tasks; no pair is a row.
     """
     live = cache.where(F.col("created_at") > now - F.expr(f"INTERVAL {hours} HOURS"))
-    pairs = queries.join(live, ["kb_id", "model"]).withColumn("similarity", n.cosine(F.col("query_vector"), F.col("vector")))
-    best = W.partitionBy("query_id").orderBy(F.desc("similarity"), "entry_id")
-    return pairs.where(F.col("similarity") >= similarity).withColumn("_n", F.row_number().over(best)).where("_n = 1").select("query_id", "entry_id", "similarity")
+    found = dense_search(queries, live.select("entry_id", "vector", "kb_id", "model"), 1, "entry_id", similarity, ("kb_id", "model"))
+    return found.select("query_id", "entry_id", F.col("dense_score").alias("similarity"))
 
 
 def cache_admit(cache: DataFrame, fresh: DataFrame, most: int = DEFAULTS.cache_entries) -> DataFrame:

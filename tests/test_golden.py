@@ -1,5 +1,6 @@
 """Expected values of single operators, and awkward rows."""
 
+import datetime as dt
 import math
 
 import pytest
@@ -10,6 +11,7 @@ from lucerna.functions import text as t
 from lucerna.functions.udfs import porter_stem
 from lucerna.operators import evaluate as ev
 from lucerna.operators import evidence as e
+from lucerna.operators import records as rec
 from lucerna.operators import retrieval as r
 from lucerna.operators.chunking import chunk_pages, layout, progressive, sliding
 from lucerna.sources import files, urls
@@ -207,3 +209,18 @@ def test_refusals(spark):
     for said, refuses in [("ABSTAIN", True), ("I could not verify it", True), ("There is insufficient evidence.", True), ("Refunds take 5 days.", False), (None, False)]:
         assert value(spark, t.is_refusal(F.lit(said).cast("string"))) is refuses
     assert math.isclose(value(spark, n.rrf(F.lit(1))), 1 / 61)
+
+
+def test_cache_lookup_within_bases(spark):
+    at = dt.datetime(2026, 1, 2)
+    cache = spark.createDataFrame([(i, f"b{i % 3}", "m" if i % 5 else None, [1.0, float(i % 4), 0.5], at) for i in range(90)], "entry_id long, kb_id string, model string, vector array<double>, created_at timestamp")
+    asked = spark.createDataFrame([(q, f"b{q % 4}", "m", [1.0, float(q % 5), 0.5]) for q in range(20)], "query_id long, kb_id string, model string, query_vector array<double>")
+    found = rec.cache_lookup(asked, cache, F.lit(at), 0.99, 24)
+    assert "similarity" in found.columns and "Join" not in found._jdf.queryExecution().optimizedPlan().toString()  # questions meet entries inside tasks
+    cosine = lambda a, b: round(sum(x * y for x, y in zip(a, b, strict=True)) / math.sqrt(sum(x * x for x in a) * sum(x * x for x in b)), 9)
+    want = {}
+    for q in asked.collect():
+        close = sorted((-s, c.entry_id) for c in cache.collect() if c.kb_id == q.kb_id and c.model == q.model and (s := cosine(q.query_vector, c.vector)) >= 0.99)
+        if close:
+            want[q.query_id] = close[0][1]
+    assert {x.query_id: x.entry_id for x in found.collect()} == want and want
