@@ -14,10 +14,31 @@ def ranking_metrics(retrieved: DataFrame, gold: DataFrame, k: int = 8) -> DataFr
     retrieved: query_id, item, rank (from 1, distinct items); gold: query_id, item. All gold counts, found or not.
     """
     truth = gold.select("query_id", "item").distinct()
-    sizes = truth.groupBy("query_id").agg(F.count(F.lit(1)).alias("gold"))
     rows = retrieved.select("query_id", "item", "rank")
+    return _metrics(rows, rows.join(truth, ["query_id", "item"], "left_semi"), truth.groupBy("query_id").agg(F.count(F.lit(1)).alias("gold")), k)
+
+
+def class_ranking_metrics(retrieved: DataFrame, queries: DataFrame, items: DataFrame, k: int = 8) -> DataFrame:
+    """ranking_metrics where the gold of a question are all items of its classes: gold is counted by class, its pairs are never made.
+
+    queries: query_id, class; items: item, class. An item that shares several classes with a question counts once; only items of several classes
+    meet questions one by one for that. Null classes have no items.
+    """
+    asked, held = (x.where(F.col("class").isNotNull()).distinct() for x in (queries.select("query_id", "class"), items.select("item", "class")))
+    sizes = asked.join(held.groupBy("class").agg(F.count(F.lit(1)).alias("gold")), "class").groupBy("query_id").agg(F.sum("gold").alias("gold"))
+    several = held.groupBy("item").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("item")
+    shared = asked.join(held.join(several, "item", "left_semi"), "class").groupBy("query_id", "item").agg((F.count(F.lit(1)) - 1).alias("_again"))
+    shared = shared.groupBy("query_id").agg(F.sum("_again").alias("_again"))
+    sizes = sizes.join(shared, "query_id", "left").select("query_id", (F.col("gold") - F.coalesce("_again", F.lit(0))).alias("gold"))
+    rows = retrieved.select("query_id", "item", "rank")
+    found = rows.join(held, "item").join(asked, ["query_id", "class"], "left_semi").select(*rows.columns).distinct()
+    return _metrics(rows, rows.join(found, rows.columns, "left_semi"), sizes, k)
+
+
+def _metrics(rows: DataFrame, good: DataFrame, sizes: DataFrame, k: int) -> DataFrame:
+    """rows: query_id, item, rank; good: those of them that are gold; sizes: query_id and gold, how many there are."""
     depth = rows.groupBy("query_id").agg(F.count(F.lit(1)).alias("retrieved"))
-    hits = rows.join(truth, ["query_id", "item"], "left_semi").groupBy("query_id").agg(
+    hits = good.groupBy("query_id").agg(
         F.count_if(F.col("rank") <= k).alias("found"),
         F.min("rank").alias("first"),
         F.sum(F.when(F.col("rank") <= k, 1.0 / F.log2(F.col("rank") + 1.0)).otherwise(0.0)).alias("dcg"),

@@ -211,6 +211,16 @@ def test_refusals(spark):
     assert math.isclose(value(spark, n.rrf(F.lit(1))), 1 / 61)
 
 
+def test_gold_by_class_makes_no_pairs(spark):
+    """Equal to gold as pairs, also where items and questions have several classes."""
+    queries = spark.createDataFrame([(q, c) for q in range(12) for c in {q % 3, q % 4}] + [(50, None), (51, 9), (0, 0)], "query_id long, class int")
+    items = spark.createDataFrame([(i, i % 3) for i in range(60)] + [(i, i % 4) for i in range(0, 60, 7)] + [(3, 0), (60, None)], "item long, class int")
+    got = spark.createDataFrame([(q, (q * 5 + 7 * r) % 63, r) for q in [*range(12), 50, 51] for r in range(1, 10)], "query_id long, item long, rank int")
+    want = ev.ranking_metrics(got, queries.join(items, "class").select("query_id", "item"))
+    rounded = lambda df: sorted(tuple(round(x, 12) for x in row) for row in df.collect())
+    assert rounded(ev.class_ranking_metrics(got, queries, items)) == rounded(want)
+
+
 def test_cache_lookup_within_bases(spark):
     at = dt.datetime(2026, 1, 2)
     cache = spark.createDataFrame([(i, f"b{i % 3}", "m" if i % 5 else None, [1.0, float(i % 4), 0.5], at) for i in range(90)], "entry_id long, kb_id string, model string, vector array<double>, created_at timestamp")
