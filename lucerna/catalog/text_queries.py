@@ -8,10 +8,10 @@ from ..functions import numbers as n
 from ..functions import text as t
 from ..functions import words as w
 from ..functions.udfs import decomposed as with_marks_apart
-from ..functions.udfs import stem_terms, xxh32
+from ..functions.udfs import xxh32
 from ..operators.chunking import chunk_pages, fixed_chunks, line_blocks, register_chunker
 from ..operators import retrieval as r
-from ..operators.retrieval import lexed, route
+from ..operators.retrieval import lexed, route, word_counts
 from ..sources import files, urls
 from . import query, table
 from .lexical_sql import SQL_NORM, SQL_STRIP, decomposed, stems, words_of
@@ -43,10 +43,13 @@ def str02_lex_tokens(spark, d):
 
 @query(f"WITH {words_of('documents', 'doc_id')}, {stems('w')} SELECT stem AS term, count(*) AS n FROM w JOIN stems USING (word) GROUP BY 1")
 def str03_stem_vocabulary(spark, d):
-    """Decomposition, lexing and stems over all languages; the stemmer sees each distinct word once."""
-    words = lexed(table(spark, d, "documents").select("doc_id", "text"), stemmed=False).select(F.explode("terms").alias("term"))
-    counts = words.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
-    return stem_terms(counts).groupBy("term").agg(F.sum("n").alias("n"))
+    """Decomposition, lexing and stems over all languages; the stemmer sees each distinct word of a batch once, words are counted before they are exchanged."""
+    return vocabulary(spark, d).groupBy("term").agg(F.sum("tf").alias("n"))
+
+
+def vocabulary(spark, d):
+    """term and tf: the stems of every document's words, each once a document."""
+    return table(spark, d, "documents").select(F.inline(word_counts(F.col("text"))))
 
 
 @query(
@@ -348,7 +351,7 @@ def hsh02_ids(spark, d):
 @query()
 def mat05_hashed_terms(spark, d):
     """The hashed vocabulary: each stem's index modulo a million, and how many stems share it."""
-    stems_ = lexed(table(spark, d, "documents").select("text")).select(F.explode("terms").alias("term")).distinct()
+    stems_ = vocabulary(spark, d).select("term").distinct()
     return stems_.select((xxh32("term") % 1_000_000).alias("idx")).groupBy("idx").agg(F.count(F.lit(1)).alias("terms"))
 
 

@@ -153,3 +153,22 @@ def test_fusion_of_both_legs(spark, folder):
         best |= {(q, i): k for k, i in enumerate(order[: 4 if max(want[q, j] for j in order) >= 0.02 else 10], 1)}
     assert {(q, i): k for q, i, k in rows(spark, folder, "ret04_hybrid")} == best == {(q, i): k for q, i, k in rows(spark, folder, "top04_adaptive_cut")}
     assert {(q, i) for q, _, i, _ in rows(spark, folder, "win03_fanout_merge")} == set(want)
+
+
+def test_terms_are_counted_before_they_are_exchanged(spark, tmp_path):
+    """Rows that share their key or have none are one document, and no word goes through an exchange for each time that it is there."""
+    catalog.load_all()
+    texts = [(1, "bank banks money"), (1, "banking, monies"), (2, None), (None, "river"), (None, "rivers bank"), (3, ""), (4, "Straße café " * 50)]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = Counter((i, x) for i, text in texts for x in plain_tokens(text))
+    got = {(i, x): c for i, x, c in rows(spark, tmp_path, "agg09_term_counts")}
+    assert got == want
+    size = {i: sum(c for (j, _), c in want.items() if j == i) for i in {1, 4, None}}
+    weights = {(i, x): v for i, x, v in rows(spark, tmp_path, "mat05_sparse_weights")}
+    assert weights == pytest.approx({(i, x): c * 2.2 / (c + 1.2) / (0.25 + 0.75 * size[i] / 128) for (i, x), c in want.items()}, abs=1e-8)
+    total = Counter(x for _, text in texts for x in plain_tokens(text))
+    assert dict(rows(spark, tmp_path, "str03_stem_vocabulary")) == total
+    assert sum(c for _, c in rows(spark, tmp_path, "mat05_hashed_terms")) == len(total)
+    spark.createDataFrame(texts[-1:], "doc_id long, text string").write.parquet(f"{tmp_path}/one/documents.parquet")
+    plan = catalog.QUERIES["agg09_term_counts"](spark, f"{tmp_path}/one")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
