@@ -8,11 +8,13 @@ import zlib
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from lucerna import catalog
+from lucerna.catalog import retrieval_queries
 from lucerna.functions import text as t
 from lucerna.functions import words as w
-from lucerna.functions.udfs import porter_stem
+from lucerna.functions.udfs import decomposed, porter_stem, text_words
 
 DOCS = [
     (1, "The bank lends money to the small town."), (2, "Le café de la ville prête de l'argent à la banque."), (3, None), (4, ""),
@@ -172,3 +174,20 @@ def test_terms_are_counted_before_they_are_exchanged(spark, tmp_path):
     spark.createDataFrame(texts[-1:], "doc_id long, text string").write.parquet(f"{tmp_path}/one/documents.parquet")
     plan = catalog.QUERIES["agg09_term_counts"](spark, f"{tmp_path}/one")._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan
+
+
+ODD = [
+    "a-\nb-\nc d", "x-  \n\n y e\u0301-\n\u00df", "\u0130stanbul KELVIN \u212a \ufb01\ufb01n", "cannotx can't won't 'll cant", "abc-def\u00f8 \u00f8-abc a--b -a- 5 a 7\u00e9",
+    "x\u2022y\uff21z\u25aab", "snake_case a_b 12-34", "\u00e9tat-\r\n\x0bmajor", "\u03a3\u0391\u03a3 abc\u03a3", "\U0001d400bc \U0001d7d9", "a\u00a0b c\u0085-\nd", "", "  ", None, "n't n't-\n's",
+]
+
+
+def test_words_of_one_pass_are_those_of_the_columns(spark, tmp_path):
+    rows = spark.createDataFrame([(x,) for x in ODD], "text string")
+    for asked in (False, True):
+        both = rows.select(t.tokens(t.normalize(decomposed(F.col("text"))), asked).alias("a"), text_words(F.col("text"), asked).alias("b"))
+        assert [x.b for x in both.collect()] == [x.a for x in both.collect()]
+    # Documents' vectors take one pass of Python, none of the JVM's expressions.
+    rows.withColumn("doc_id", F.monotonically_increasing_id()).write.parquet(f"{tmp_path}/documents.parquet")
+    text = retrieval_queries._document_vectors(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert "regexp" not in text and text.count("ArrowEvalPython") == 1
