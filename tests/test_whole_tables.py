@@ -191,3 +191,13 @@ def test_words_of_one_pass_are_those_of_the_columns(spark, tmp_path):
     rows.withColumn("doc_id", F.monotonically_increasing_id()).write.parquet(f"{tmp_path}/documents.parquet")
     text = retrieval_queries._document_vectors(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
     assert "regexp" not in text and text.count("ArrowEvalPython") == 1
+
+
+def test_texts_of_other_documents_are_not_exchanged(spark, folder):
+    """What was found is broadcast to the documents: an exchange above their scan would carry every text."""
+    for name in ("ret07_rerank", "gen02_compressed_context"):
+        plan = catalog.QUERIES[name](spark, folder)._jdf.queryExecution().executedPlan().toString()
+        lines = plan.split("\n")
+        scan = next(i for i, line in enumerate(lines) if "documents.parquet" in line and "FileScan" in line)
+        join = max(i for i, line in enumerate(lines[:scan]) if "Join" in line)
+        assert "BroadcastHashJoin" in lines[join] and not any("Exchange hashpartitioning" in x for x in lines[join:scan]), plan
