@@ -1,14 +1,15 @@
 """Chunkers. Boundaries that depend on the chunk before are found per page in Python; fixed steps stay columns.
 
-A page is the unit: its chunks are an array that one Arrow UDF returns, so no rows of a document are gathered,
-and a long document costs its own length only. Chunk numbers run over a document's pages by a prefix sum.
+A page is the unit: its chunks are an array that an Arrow function gives for SLICE pages at a time, so no rows of a document are gathered,
+a long document costs its own length only, and a task's Python holds a batch of texts and the chunks of one slice. Chunk numbers run over a document's pages by a prefix sum.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from itertools import accumulate
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -20,6 +21,7 @@ from ..session import DEFAULTS
 
 PIECES = "array<struct<start:int,text:string,zone:string>>"
 LOOKBACK = 64
+SLICE = 64
 Piece = tuple[int, str, str | None]
 
 
@@ -135,12 +137,21 @@ def chunk_pages(
     """
     cut = STRATEGIES.get(strategy, sliding)
 
-    @F.pandas_udf(PIECES)
-    def pieces(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: [{"start": s, "text": p, "zone": z} for s, p, z in cut(t, size, overlap)])
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, len(batch), SLICE):
+                *others, texts = batch.slice(at, SLICE).columns
+                found = [cut(text, size, overlap) for text in texts.to_pylist()]
+                parts = [piece for some in found for piece in some]
+                each = [pa.array([x[i] for x in parts], kind) for i, kind in enumerate((pa.int32(), pa.string(), pa.string()))]
+                ends = pa.array([0, *accumulate(map(len, found))], pa.int32())
+                lists = pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays(each, names=["start", "text", "zone"]))
+                yield pa.RecordBatch.from_arrays([*others, lists], names=[*batch.schema.names[:-1], "_pieces"])
 
     kept = [c for c in pages.columns if c not in ("doc_id", "page", "text")]
-    cutup = pages.withColumn("_pieces", pieces(normalize(F.col("text"))))
+    held = pages.select("doc_id", "page", *kept)
+    cutup = pages.select("doc_id", "page", *kept, normalize(F.col("text")).alias("_text"))
+    cutup = cutup.mapInArrow(pieces, T.StructType([*held.schema.fields, T.StructField("_pieces", T.DataType.fromDDL(PIECES))]))
     before = W.partitionBy("doc_id").orderBy("page").rowsBetween(W.unboundedPreceding, -1)
     cutup = cutup.withColumn("_before", F.coalesce(F.sum(F.size("_pieces")).over(before), F.lit(0)))
     rows = cutup.select("doc_id", "page", *kept, "_before", F.posexplode("_pieces").alias("_at", "_piece"))

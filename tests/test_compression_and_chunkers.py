@@ -5,8 +5,10 @@ import random
 
 import pytest
 from pyspark.errors import PySparkException
+from pyspark.sql import functions as F
 
 from lucerna.functions import text as t
+from lucerna.operators import chunking
 from lucerna.operators.chunking import STRATEGIES, chunk_pages, register_chunker
 from lucerna.operators.compress import compress
 
@@ -90,3 +92,15 @@ def test_a_strategy_of_ones_own(spark):
     for call in ("by_letter(v.text, 0, 1)", "by_letter(v.text, v.n, 1)", "by_letter(v.n, 3, 1)"):
         with pytest.raises(PySparkException):
             spark.sql(f"SELECT c.* FROM VALUES ('abc', 3) AS v(text, n), LATERAL {call} c").collect()
+
+
+def test_chunks_of_more_pages_than_a_slice(spark):
+    """Pages go through Python a slice at a time, not a batch of 10,000 rows at once; other columns, empty and null texts stay with their pages."""
+    texts = ["" if i % 7 == 0 else None if i % 11 == 0 else f"line {i} | x\n\n" + "so it goes on and on there " * (i % 40) for i in range(150)]
+    pages = spark.createDataFrame([(i // 3, i % 3, t, f"o{i}") for i, t in enumerate(texts)], "doc_id long, page int, text string, own string").coalesce(1)
+    found = chunking.chunk_pages(pages, "layout_aware")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "EvalPython" not in plan and chunking.SLICE < 150
+    got = [(x.own, x.character_offset, x.text) for x in found.orderBy("doc_id", "chunk_index").collect()]
+    normal = [(x.own, x.t) for x in pages.select("own", chunking.normalize(F.col("text")).alias("t")).collect()]
+    assert got == [(own, start, piece) for own, t in normal for start, piece, _ in chunking.layout(t, 512, 64)]
